@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselwork.llm.mixing import mix_sources
+from tesselwork.llm.packing import pack
 from tesselwork.llm.sharding import shuffle_shards
 from tesselwork.sources.tables import table
 
@@ -15,10 +16,21 @@ def op2_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def vocabulary() -> str:
+    """The public vocabulary file that the contract names; the package that holds it is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_first_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), vocabulary(), length=1024)
+
+
 def op10_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_hypergeometric_shards, op10_sainte_lague_mix)}
+QUERIES = {f.__name__: f for f in (op2_hypergeometric_shards, op3_first_fit_packing, op10_sainte_lague_mix)}
 
 ORACLES: dict[str, str] = {}
