@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselwork.llm.mixing import mix_sources
 from tesselwork.llm.packing import pack
+from tesselwork.llm.quality_rules import quality_rules
 from tesselwork.llm.sharding import shuffle_shards
 from tesselwork.sources.tables import table
 
@@ -27,10 +28,15 @@ def op3_first_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary(), length=1024)
 
 
+def op8_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality_rules(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_hypergeometric_shards, op3_first_fit_packing, op10_sainte_lague_mix)}
+QUERIES = {f.__name__: f for f in (op2_hypergeometric_shards, op3_first_fit_packing, op8_adaptive_quality, op10_sainte_lague_mix)}
 
 ORACLES: dict[str, str] = {}
