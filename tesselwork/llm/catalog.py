@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselwork.llm import chat, media
+from tesselwork.llm import chat, media, pii
 from tesselwork.llm.mixing import mix_sources
 from tesselwork.llm.packing import pack
 from tesselwork.llm.quality_rules import quality_rules
@@ -13,6 +13,10 @@ from tesselwork.llm.sharding import shuffle_shards
 from tesselwork.sources.tables import table
 
 
+def op1_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
 def op2_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
     out = shuffle_shards(table(spark, folder, "documents"), shards=40)
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
@@ -55,6 +59,6 @@ def op10_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_hypergeometric_shards, op3_first_fit_packing, op5_transport_streams, op7_event_sourced_chat, op8_adaptive_quality, op10_sainte_lague_mix)}
+QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_hypergeometric_shards, op3_first_fit_packing, op5_transport_streams, op7_event_sourced_chat, op8_adaptive_quality, op10_sainte_lague_mix)}
 
 ORACLES: dict[str, str] = {}
