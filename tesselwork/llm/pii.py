@@ -14,9 +14,11 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +80,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
 
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            put(all(len(p := p.lstrip("0")) <= 3 and int(p or 0) <= 255 for p in m[0].split(".")), m, "ip")
+            put(all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")), m, "ip")
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -166,7 +168,9 @@ def candidates(text: str) -> list[dict]:
     """Base spans and further candidates of a whole text, with votes and features, in order."""
     good, bad = base_spans(text)
     out = []
-    inside = lambda a, b: any(x <= a and b <= y for x, y, _ in good)
+    starts = sorted(x for x, _, _ in good)
+    reach = list(accumulate((y for _, y, _ in sorted(good)), max))
+    inside = lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b
     more = [c for c in _further(text) if not inside(c[0], c[1])]
     for spans, base, checked in ((good, True, True), (bad, False, False), (more, False, False)):
         for a, b, kind in spans:
