@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselwork.llm import chat, media, pii, quality_model
 from tesselwork.llm.mixing import mix_sources
+from tesselwork.llm.near_dup import near_duplicates
 from tesselwork.llm.packing import pack
 from tesselwork.llm.quality_rules import quality_rules
 from tesselwork.llm.sharding import shuffle_shards
@@ -59,10 +60,14 @@ def op8_adaptive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_odd_sketch_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), width=2)
+
+
 def op10_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_hypergeometric_shards, op3_first_fit_packing, op5_transport_streams, op6_weak_label_quality, op7_event_sourced_chat, op8_adaptive_quality, op10_sainte_lague_mix)}
+QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_hypergeometric_shards, op3_first_fit_packing, op5_transport_streams, op6_weak_label_quality, op7_event_sourced_chat, op8_adaptive_quality, op9_odd_sketch_near_dup, op10_sainte_lague_mix)}
 
 ORACLES: dict[str, str] = {}
