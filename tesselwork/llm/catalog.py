@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselwork.llm import chat, media, pii, quality_model
+from tesselwork.llm import chat, html_text, media, pii, quality_model
 from tesselwork.llm.mixing import mix_sources
 from tesselwork.llm.near_dup import near_duplicates
 from tesselwork.llm.packing import pack
@@ -34,6 +34,10 @@ def op3_first_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary(), length=1024)
 
 
+def op4_layout_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op5_transport_streams(spark: SparkSession, folder: str) -> DataFrame:
     """Each text muxed to a stream, and everything below read back from the stream."""
     out = media.demux(media.mux(table(spark, folder, "documents")))
@@ -68,6 +72,6 @@ def op10_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_hypergeometric_shards, op3_first_fit_packing, op5_transport_streams, op6_weak_label_quality, op7_event_sourced_chat, op8_adaptive_quality, op9_odd_sketch_near_dup, op10_sainte_lague_mix)}
+QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_hypergeometric_shards, op3_first_fit_packing, op4_layout_text, op5_transport_streams, op6_weak_label_quality, op7_event_sourced_chat, op8_adaptive_quality, op9_odd_sketch_near_dup, op10_sainte_lague_mix)}
 
 ORACLES: dict[str, str] = {}
