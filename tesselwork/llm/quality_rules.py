@@ -103,7 +103,7 @@ def fences(shares: DataFrame, k: int, reach: float, least_rows: int) -> DataFram
             gap = F.greatest(F.lit(reach) * (F.get(q, F.lit(1)) - F.get(q, F.lit(0))), F.lit(MEASURES[m]))
             return F.struct(F.bround(F.get(q, F.lit(0)) - gap, 2).alias("low"), F.bround(F.get(q, F.lit(1)) + gap, 2).alias("high")).alias(m)
 
-        return d.select(*[c for c in ("lang", "source") if c in d.columns], F.col("n").alias(f"n_{tag}"), F.struct(*[one(m) for m in names]).alias(tag))
+        return d.where("n > 0").select(*[c for c in ("lang", "source") if c in d.columns], F.col("n").alias(f"n_{tag}"), F.struct(*[one(m) for m in names]).alias(tag))
 
     a, b, c = cut(own, "own").alias("a"), cut(by_lang, "wide").alias("b"), cut(every, "all").alias("c")
     both = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(F.broadcast(c), F.lit(True), "left")  # c is one row
