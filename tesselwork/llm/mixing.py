@@ -100,7 +100,7 @@ def mix_sources(
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
     )
     rows = written(rows, "mix-rows")
-    slices = min(4096, max(16, rows.count() // rows_per_slice))
+    slices = min(4096, max(64, rows.count() // rows_per_slice))
     rows = rows.withColumn("slice", spread(slices, F.col("h")))
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     found = sums.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()
