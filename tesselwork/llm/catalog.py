@@ -74,4 +74,33 @@ def op10_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_hypergeometric_shards, op3_first_fit_packing, op4_layout_text, op5_transport_streams, op6_weak_label_quality, op7_event_sourced_chat, op8_adaptive_quality, op9_odd_sketch_near_dup, op10_sainte_lague_mix)}
 
-ORACLES: dict[str, str] = {}
+_CONTROL = r"<\|[a-z_]+\|>|</?s>|\[/?INST\]|<</?SYS>>|\\"
+_AROUND = len(chat.BEGIN + chat.BETWEEN + chat.END)
+
+#: Only what SQL can say over whole tables: the others hash, sketch, draw, tokenize or parse.
+ORACLES: dict[str, str] = {
+    "op7_event_sourced_chat": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES {", ".join(str(r) for r in INJECTED)}),
+     a AS (SELECT conv_id, count(*) AS n_turns,
+                  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+                  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+                  sum({_AROUND} + length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')))::BIGINT AS formatted_chars
+           FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a""",
+    "op9_odd_sketch_near_dup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, run FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS run FROM w)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     rare AS (SELECT run, count(*) AS df FROM s GROUP BY run),
+     r AS (SELECT s.doc_id, s.run, row_number() OVER (PARTITION BY s.doc_id ORDER BY df, s.run) AS nth FROM s JOIN rare USING (run)),
+     prefix AS (SELECT doc_id, run FROM r JOIN n USING (doc_id) WHERE nth <= n - (4 * n + 4) // 5 + 1),
+     candidate AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b ON a.run = b.run AND a.doc_id < b.doc_id),
+     shared AS (SELECT a, b, count(*) AS k FROM candidate JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.run = x.run GROUP BY a, b),
+     link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+     e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+     reach AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, root FROM reach JOIN e ON node = e.a),
+     c AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id""",
+}
