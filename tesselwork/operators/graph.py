@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselwork.sources.scratch import written
@@ -35,3 +35,57 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         now = written(small.where("u <> v").distinct(), "small-star")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def reachable(edges: DataFrame, start: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """node and distance (least number of edges) of all that undirected edges a, b reach from ``start``'s nodes."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "reach-edges")
+    seen = front = written(start.select("node").distinct().withColumn("distance", F.lit(0)), "reach")
+    for step in range(1, most_rounds + 1):
+        near = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+        front = written(near.join(seen, "node", "left_anti").withColumn("distance", F.lit(step)), "reach-front")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+    raise RuntimeError(f"reachability did not settle in {most_rounds} rounds")
+
+
+def prune_ends(edges: DataFrame, keep: DataFrame | None = None, most_rounds: int = 200) -> DataFrame:
+    """Remove edges with an end that no other edge supports, again and again until none is left to remove.
+
+    ``keep`` (node) names ends that count as supported.
+    """
+    now = written(edges.distinct(), "prune")
+    for _ in range(most_rounds):
+        ends = now.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count().where("count = 1").select("node")
+        if keep is not None:
+            ends = ends.join(keep.select("node"), "node", "left_anti")
+        ends = written(ends, "prune-ends")
+        if ends.isEmpty():
+            return now
+        now = written(now.join(ends.withColumnRenamed("node", "a"), "a", "left_anti").join(ends.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "prune")
+    raise RuntimeError(f"pruning did not settle in {most_rounds} rounds")
+
+
+def planar_faces(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Faces of a planar drawing of straight edges (ax, ay, bx, by): one row of face, sides and signed area each.
+
+    Each edge is two half-edges. After a half-edge comes, at its end, the one next in clockwise order of angle from
+    its reverse. Pointer jumping over that permutation, in a logarithmic number of rounds, labels every cycle by its
+    least half-edge. Inner faces have a positive area; outlines a negative one.
+    """
+    e = edges.select("ax", "ay", "bx", "by").distinct().where("ax <> bx OR ay <> by")
+    half = e.unionByName(e.select(F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"))).distinct()
+    half = half.withColumn("id", F.concat_ws(",", "ax", "ay", "bx", "by")).withColumn("angle", F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")))
+    spin = Window.partitionBy("ax", "ay").orderBy("angle")
+    around = half.withColumn("before", F.coalesce(F.lag("id").over(spin), F.last("id").over(spin.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    half, around = written(half, "half-edges"), around.select(F.concat_ws(",", "bx", "by", "ax", "ay").alias("id"), F.col("before").alias("to"))
+    jump = written(around.withColumn("least", F.least("id", "to")), "faces")
+    for _ in range(most_rounds):
+        far = jump.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        new = written(jump.join(far, "to").select("id", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")), "faces")
+        if new.where("moved").isEmpty():
+            cross = (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2
+            return half.join(new, "id").groupBy(F.col("least").alias("face")).agg(F.count(F.lit(1)).alias("sides"), F.sum(cross).alias("area"))
+        jump = new.drop("moved")
+    raise RuntimeError(f"faces did not settle in {most_rounds} rounds")
