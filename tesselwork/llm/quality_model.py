@@ -69,7 +69,7 @@ def vote(m: dict[str, float]) -> str:
             fault(m["shouting"] > 0.4 and m["words"] > 2),
             fault(m["marks"] > 0.3 and m["words"] > 2),
             "-" if few else both(m["repeats"] > 0.3, m["repeats"] < 0.08),
-            "-" if few else both(m["variety"] < 0.25 or m["top"] > 0.4, m["variety"] > 0.6),
+            "-" if few else both(m["variety"] < 0.5 or m["top"] > 0.4, m["variety"] > 0.8),
             both(m["plain"] < 0.7, m["plain"] > 0.93),
             both(m["digits"] > 0.3, 0 < m["sentences"] < 0.4),
         )
