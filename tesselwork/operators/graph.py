@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselwork.sources.scratch import written
+from tesselwork.sources.scratch import release, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = written(large.where("u <> v"), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        now = written(small.where("u <> v").distinct(), "small-star")
+        old, now = now, written(small.where("u <> v").distinct(), "small-star")
+        release(old, large)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -63,7 +64,8 @@ def prune_ends(edges: DataFrame, keep: DataFrame | None = None, most_rounds: int
         ends = written(ends, "prune-ends")
         if ends.isEmpty():
             return now
-        now = written(now.join(ends.withColumnRenamed("node", "a"), "a", "left_anti").join(ends.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "prune")
+        old, now = now, written(now.join(ends.withColumnRenamed("node", "a"), "a", "left_anti").join(ends.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "prune")
+        release(old, ends)
     raise RuntimeError(f"pruning did not settle in {most_rounds} rounds")
 
 
@@ -80,12 +82,13 @@ def planar_faces(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     spin = Window.partitionBy("ax", "ay").orderBy("angle")
     around = half.withColumn("before", F.coalesce(F.lag("id").over(spin), F.last("id").over(spin.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     half, around = written(half, "half-edges"), around.select(F.concat_ws(",", "bx", "by", "ax", "ay").alias("id"), F.col("before").alias("to"))
-    jump = written(around.withColumn("least", F.least("id", "to")), "faces")
+    jump = written(around.withColumn("least", F.least("id", "to")), "faces")  # where a half-edge leads, and the least on the way
     for _ in range(most_rounds):
         far = jump.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
         new = written(jump.join(far, "to").select("id", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")), "faces")
         if new.where("moved").isEmpty():
             cross = (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2
             return half.join(new, "id").groupBy(F.col("least").alias("face")).agg(F.count(F.lit(1)).alias("sides"), F.sum(cross).alias("area"))
-        jump = new.drop("moved")
+        release(jump)
+        jump = new
     raise RuntimeError(f"faces did not settle in {most_rounds} rounds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselwork.sources.scratch import written
+from tesselwork.sources.scratch import release, written
 
 
 def greedy_match(pairs: DataFrame, a: str, b: str, score: str, most_rounds: int = 200) -> DataFrame:
@@ -22,7 +22,8 @@ def greedy_match(pairs: DataFrame, a: str, b: str, score: str, most_rounds: int
         taken = won if taken is None else taken.unionByName(won)
         if won.isEmpty():
             return taken
-        left = written(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti").select(a, b, score), "match")
+        old, left = left, written(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti").select(a, b, score), "match")
+        release(old)
     raise RuntimeError(f"matching did not settle in {most_rounds} rounds")
 
 
@@ -45,7 +46,8 @@ def keep_first(items: DataFrame, clashes: DataFrame, item: str, priority: str, m
         won = written(open_.join(blocked, item, "left_anti"), "nms-won")
         stayed = won if stayed is None else stayed.unionByName(won)
         gone = worse.join(won.select(F.col(item).alias("b")), "b", "left_semi").select(F.col("a").alias(item)).distinct()
-        open_ = written(open_.join(won, item, "left_anti").join(gone, item, "left_anti"), "nms-open")
+        old, open_ = open_, written(open_.join(won, item, "left_anti").join(gone, item, "left_anti"), "nms-open")
+        release(old)
     raise RuntimeError(f"suppression did not settle in {most_rounds} rounds")
 
 

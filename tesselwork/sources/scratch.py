@@ -32,7 +32,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_root(spark)}/tesselwork/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that written() returned and that nothing reads any more. What was made from them must be
+    written itself: a plan that still reads one fails."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path and (t.sparkSession, path) in _made:
+            _made.remove((t.sparkSession, path))
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop(spark: SparkSession) -> None:
@@ -40,9 +57,7 @@ def drop(spark: SparkSession) -> None:
     for one in [x for x in _made if x[0] is spark]:
         _made.remove(one)
         try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(one[1])
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(*one)
         except Exception:  # the session may be gone already; the cluster's own clean-up takes over
             return
 

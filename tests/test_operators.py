@@ -73,7 +73,8 @@ def test_printed_sizes(spark):
 
 
 def test_polygon_edge_counts_as_inside(spark):
-    square = "array(struct(0L as x, 0L as y), struct(4L, 0L), struct(4L, 4L), struct(0L, 4L))"
+    corner = "named_struct('x', {}L, 'y', {}L)"
+    square = "array(" + ", ".join(corner.format(*c) for c in ((0, 0), (4, 0), (4, 4), (0, 4))) + ")"
     spots = spark.createDataFrame([(0, 0, True), (4, 2, True), (2, 2, True), (5, 2, False), (2, -1, False)], "px long, py long, inside boolean")
     got = spots.withColumn("s", F.expr(square)).select("inside", geometry.contains(F.col("s"), F.col("px"), F.col("py")).alias("got")).collect()
     assert all(r.inside == r.got for r in got)
