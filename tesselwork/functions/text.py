@@ -53,3 +53,13 @@ def longest_phrase(texts: DataFrame, id_col: str, text_col: str, phrases: list[t
     held = F.array(*[F.when(F.contains(F.concat(F.lit(" "), F.col(text_col), F.lit(" ")), F.lit(f" {p} ")), F.struct(F.lit(-len(p)).alias("n"), F.lit(p).alias("phrase"), F.lit(name).alias("name"))) for p, name in phrases])
     best = F.array_min(F.array_compact(held))
     return texts.select(id_col, best["phrase"].alias("phrase"), best["name"].alias("name")).where("phrase IS NOT NULL")
+
+
+def compact_feet(digits: Column) -> Column:
+    """Digits whose foot mark was lost, 108 for 10'8": inches are the last digits that leave 3 to 30 feet and at most 11
+    inches, two of them before one; else null."""
+    def cut(k: int) -> Column:
+        f, i = F.substring(digits, F.lit(1), F.length(digits) - k).try_cast("int"), F.substring(digits, F.length(digits) - k + 1, F.lit(k)).try_cast("int")
+        return F.when(f.between(3, 30) & (i <= 11) & (F.length(digits) > k), F.struct(f.alias("feet"), i.alias("inches")))
+
+    return F.coalesce(cut(2), cut(1))

@@ -92,3 +92,17 @@ def planar_faces(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         release(jump)
         jump = new
     raise RuntimeError(f"faces did not settle in {most_rounds} rounds")
+
+
+def nearest_source(edges: DataFrame, sources: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """node, distance and label: the nearest of ``sources`` (node, label) over undirected edges a, b, of equals the
+    least label. All sources grow at one pace; a node is settled once."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "grow-edges")
+    seen = front = written(sources.groupBy("node").agg(F.min("label").alias("label")).withColumn("distance", F.lit(0)), "grow")
+    for step in range(1, most_rounds + 1):
+        near = both.join(front.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
+        front = written(near.join(seen, "node", "left_anti").select("node", "label", F.lit(step).alias("distance")), "grow-front")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+    raise RuntimeError(f"growth did not settle in {most_rounds} rounds")

@@ -54,3 +54,18 @@ def keep_first(items: DataFrame, clashes: DataFrame, item: str, priority: str, m
 def newest(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
     """The first n rows of each group in the given order."""
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("nth") <= n).drop("nth")
+
+
+def seeded_groups(items: DataFrame, matches: DataFrame, item: str, priority: str) -> DataFrame:
+    """Group items around seeds: by falling priority (then rising id) an item joins the first seed that it matches, or
+    becomes a seed. Groups are not chained through members. Return item and seed for every item.
+
+    Seeds are the items that keep_first() keeps, since only seeds take others in.
+    """
+    seeds = written(keep_first(items, matches, item, priority).select(F.col(item).alias("seed")), "seeds")
+    ranked = seeds.join(items.select(F.col(item).alias("seed"), F.col(priority).alias("p")), "seed")
+    both = matches.select("a", "b").unionByName(matches.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    joins = both.where("a <> b").select(F.col("a").alias(item), F.col("b").alias("seed")).join(ranked, "seed")
+    first = joins.groupBy(item).agg(F.min(F.struct(-F.col("p"), F.col("seed"))).alias("f"))
+    own = seeds.select(F.col("seed").alias(item), F.col("seed").alias("own"))
+    return items.select(item).join(own, item, "left").join(first, item, "left").select(item, F.coalesce("own", "f.seed").alias("seed"))

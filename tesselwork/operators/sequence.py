@@ -59,3 +59,22 @@ def peaks(rows: DataFrame, bin_col: str, weight: str, bins: int, least_share: fl
     whole = sums.agg(F.sum("mass").alias("whole"))  # one row
     met = full.join(side(1, "before"), bin_col).join(side(-1, "after"), bin_col).join(F.broadcast(whole), F.lit(True))
     return met.where((F.col("mass") > F.col("before")) & (F.col("mass") >= F.col("after")) & (F.col("mass") >= F.lit(least_share) * F.col("whole"))).select(bin_col, "mass")
+
+
+def otsu(rows: DataFrame, group: str, level: str) -> DataFrame:
+    """The level of each group's histogram that best splits it in two (levels up to it, levels above), least of equals."""
+    n = rows.groupBy(group, level).agg(F.count(F.lit(1)).alias("n"))
+    upto, whole = Window.partitionBy(group).orderBy(level).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(group)
+    mass = F.col("n") * F.col(level)
+    s = n.withColumns({"w": F.sum("n").over(upto), "m": F.sum(mass).over(upto), "w_all": F.sum("n").over(whole), "m_all": F.sum(mass).over(whole)})
+    step = F.col("m") * F.col("w_all") - F.col("m_all") * F.col("w")
+    between = step.cast("double") * step / (F.col("w") * (F.col("w_all") - F.col("w")))
+    return s.where("w < w_all").groupBy(group).agg(F.max_by(level, F.struct(F.bround(between, 6), -F.col(level))).alias("threshold"))
+
+
+def first_plateau(rows: DataFrame, group: str, order: str, value: str, share: float) -> DataFrame:
+    """The first place of each group from which two steps in a row change the value by less than a share of it."""
+    line = Window.partitionBy(group).orderBy(order)
+    next1, next2 = F.lead(value, 1).over(line), F.lead(value, 2).over(line)
+    flat = (F.abs(next1 - F.col(value)) < F.lit(share) * F.col(value)) & (F.abs(next2 - next1) < F.lit(share) * next1)
+    return rows.select(group, F.when(flat, F.col(order)).alias("at")).groupBy(group).agg(F.min("at").alias("at")).where("at IS NOT NULL")

@@ -98,3 +98,26 @@ def test_running_choice_needs_its_gain(spark):
     rows = [(1, 1, 1.0, "a"), (1, 2, 1.2, "b"), (1, 3, 1.3, "c"), (2, 1, 0.0, "d")]
     got = {r.g: r.item for r in sequence.running_choice(spark.createDataFrame(rows, "g int, n int, s double, item string"), "g", ["n"], "s", "item", 0.25).collect()}
     assert got == {1: "c", 2: "d"}
+
+
+def test_seeded_groups_are_the_plain_ones(spark):
+    from tesselwork.plans import extra
+
+    near = {}
+    for r in catalog.touching(spark, FOLDER).collect():
+        near.setdefault(r.left_id, set()).add(r.right_id)
+        near.setdefault(r.right_id, set()).add(r.left_id)
+    seeds, want = [], {}
+    for r in sorted(catalog.boxes(spark, FOLDER).collect(), key=lambda r: (-r["size"], r.id)):
+        want[r.id] = next((s for s in seeds if s in near.get(r.id, ())), None)
+        if want[r.id] is None:
+            seeds.append(r.id)
+            want[r.id] = r.id
+    assert {r.id: r.seed for r in extra.seeded_grouping(spark, FOLDER).collect()} == want
+
+
+def test_subsets_find_more_with_more_passes(spark):
+    from tesselwork.plans import extra
+
+    rows = sorted(extra.subset_of_passes(spark, FOLDER).collect())
+    assert [r.passes for r in rows] == [1, 2, 4] and rows[0].accepted <= rows[-1].accepted

@@ -1,7 +1,7 @@
 import pytest
 from compare import FOLDER, differs
 
-from tesselwork.plans import catalog, more  # noqa: F401
+from tesselwork.plans import catalog, extra, more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
