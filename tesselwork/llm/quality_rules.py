@@ -16,7 +16,7 @@ from tesselwork.sources.scratch import written
 
 SYMBOLS = "#*$%&|<>"
 #: Measures held against fences, and how far a fence lies from its quartile at least: nearer, spreads are noise.
-MEASURES = {"chars_per_word": 3.0, "symbols_per_word": 0.15, "marks_per_word": 0.15, "upper_share": 0.15, "dup_line_share": 0.3, "repeat_share": 0.2}
+MEASURES = {"chars_per_word": 6.0, "symbols_per_word": 0.15, "marks_per_word": 0.15, "upper_share": 0.25, "dup_line_share": 0.5, "repeat_share": 0.2, "echo_share": 0.2}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -69,9 +69,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         "n_lines": bind(lines, F.size),
         "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
     }
-    by_word = bind(words(F.col("t")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    echoes = lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False))))
+    by_word = bind(words(F.col("t")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), echoes(w).cast("long").alias("n_echoes")))
     return rows.select("doc_id", "lang", "source", by_word.alias("w"), *[c.cast("long").alias(k) for k, c in counts.items()]).select(
-        "doc_id", "lang", "source", "w.n_words", "w.n_repeat_words", *counts
+        "doc_id", "lang", "source", "w.n_words", "w.n_repeat_words", "w.n_echoes", *counts
     )
 
 
@@ -85,6 +86,7 @@ def _shares(rows: DataFrame) -> DataFrame:
             "upper_share": per("n_upper", "word_chars"),
             "dup_line_share": per("n_dup_lines", "n_lines"),
             "repeat_share": per("n_repeat_words", "n_words"),
+            "echo_share": per("n_echoes", "n_words"),
         }
     )
 
