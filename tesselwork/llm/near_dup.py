@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselwork.operators.graph import components
-from tesselwork.sources.scratch import written
+from tesselwork.sources.scratch import release, written
 
 BANDS, ROWS = 40, 6
 SKETCH_BITS = 512
@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = some.alias("s").join(nodes.alias("n"), own).select("node", F.explode("bands").alias("key"))
     turn = F.struct(F.xxhash64("node").alias("turn"), F.col("node").alias("node"))
     lead = buckets.groupBy("key").agg(F.min(turn).alias("first"), F.max(turn).alias("last")).where("first <> last")
-    members = written(buckets.join(lead, "key").select("key", "node", F.col("first.node").alias("leader")), "near-members").dropDuplicates(["key", "node"])
+    met = written(buckets.join(lead, "key").select("key", "node", F.col("first.node").alias("leader")), "near-members")
+    members = met.dropDuplicates(["key", "node"])
 
     involved = members.select("node").distinct().join(nodes, "node")
     found = _full(texts.join(involved.select(F.col("node").alias("doc_id")), "doc_id"), width)
@@ -227,9 +228,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = F.lit(100) * F.least("x_n", "y_n") >= F.lit(percent) * F.greatest("x_n", "y_n")
     best = Window.partitionBy("x_node").orderBy("ones", "y_node")  # at most BANDS leaders of a node
     stars = stars.where(fits & (F.col("ones") <= MOST_ONES)).select("x_node", "y_node", F.row_number().over(best).alias("nth")).where("nth <= 2").drop("nth")
-    met = stars.join(side("x", "sh", "n"), "x_node").join(side("y", "sh", "n"), "y_node")
-    met = met.where(similar(F.size(F.array_intersect("x_sh", "y_sh")), F.col("x_n"), F.col("y_n"), percent))
-    first = written(components(met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))), "near-components")
+    pairs = stars.join(side("x", "sh", "n"), "x_node").join(side("y", "sh", "n"), "y_node")
+    links = pairs.where(similar(F.size(F.array_intersect("x_sh", "y_sh")), F.col("x_n"), F.col("y_n"), percent))
+    first = written(components(links.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))), "near-components")
 
     labelled = members.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     per = labelled.groupBy("key", "comp").count().groupBy("key")
@@ -237,6 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per = per.select("key", F.col("t.comp").alias("top"), F.col("t.count").alias("in_top"), "m")
     blocks = _blocks(labelled, per).join(sets, "node").select("key", "spot", "node", "comp", "sh", "bands", "sketch")
     more = written(blocks.groupBy("key", "spot").applyInArrow(_block_links(percent), "a long, b long"), "near-links")
+    release(met, sets)
 
     label = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
     bridges = more.join(label("a"), "a", "left").join(label("b"), "b", "left")
