@@ -7,6 +7,9 @@ already have the target proportions. A source's quota is then selected from its
 from a seeded start; because the documents' order is random, so is the selection. Beyond its line a source
 repeats itself, at most ``cap`` times.
 
+A block is a 32nd of the least target at most (or one word), so that a tiny source beside huge ones gets its share
+too; the awards are not walked one by one but found by bisection on the quotient.
+
 Where a document begins on the line is a prefix sum in two levels (slices of the hash order, then rows of a
 slice), so a source that holds most of the rows is spread over many tasks. The driver sees one row per source.
 """
@@ -43,16 +46,51 @@ def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     return out
 
 
-def awards(wanted: list[float], limits: list[int], seats: int) -> list[int]:
-    """Sainte-Laguë: the party of each seat in the order of award; ties go to the first; no party beyond its limit."""
-    heap = [(-w, i, 0) for i, w in enumerate(wanted) if w > 0 and limits[i] > 0]
+def awards(wanted: list[float], limits: list[int], seats: int, had: list[int] | None = None) -> list[int]:
+    """Sainte-Laguë: the party of each seat in the order of award; ties go to the first; no party beyond its limit.
+
+    ``had``: seats that are awarded already; ``seats`` more follow.
+    """
+    had = had or [0] * len(wanted)
+    heap = [(-w / (2 * had[i] + 1), i, had[i]) for i, w in enumerate(wanted) if w > 0 and limits[i] > had[i]]
     heapq.heapify(heap)
     out = []
     while heap and len(out) < seats:
-        _, i, had = heapq.heappop(heap)
+        _, i, n = heapq.heappop(heap)
         out.append(i)
-        if had + 1 < limits[i]:
-            heapq.heappush(heap, (-wanted[i] / (2 * had + 3), i, had + 1))
+        if n + 1 < limits[i]:
+            heapq.heappush(heap, (-wanted[i] / (2 * n + 3), i, n + 1))
+    return out
+
+
+def apportioned(wanted: list[float], limits: list[int], seats: int) -> np.ndarray:
+    """Seats of each party after so many awards: what ``awards`` gives, without a step for each seat.
+
+    The seats whose quotient exceeds a threshold come before all others. The threshold is bisected between
+    neighbouring floats, so at most one seat of each party is left to award one by one.
+    """
+    w = np.array(wanted, dtype=float)
+    most = np.where(w > 0, np.array(limits, dtype=np.int64), 0)
+    if most.sum() <= seats:
+        return most
+
+    def above(q: float) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            n = np.minimum(np.floor((w / q + 1) / 2), most).astype(np.int64)
+        while (less := (n > 0) & (w / (2 * n - 1) <= q)).any():  # quotients round
+            n -= less
+        while (more := (n < most) & (w / (2 * n + 1) > q)).any():
+            n += more
+        return n
+
+    low, high = 0.0, float(w.max())  # above(high) is nothing; above(low) would be all
+    while low < (middle := (low + high) / 2) < high:
+        if above(middle).sum() <= seats:
+            high = middle
+        else:
+            low = middle
+    out = above(high)
+    np.add.at(out, np.array(awards(wanted, most.tolist(), seats - int(out.sum()), out.tolist()), dtype=int), 1)
     return out
 
 
@@ -60,13 +98,13 @@ def plan(sizes: list[int], weights: list[float], cap: int, shards: int, blocks:
     """Per source: size, target, and for each shard the stretch [low, high) of its unrolled line."""
     wanted, total = targets(sizes, weights, cap), sum(sizes)
     least = min((w for w in wanted if w > 0), default=1.0)
-    block = max(1, min(total // blocks, int(least // 32)), total >> 20)
-    order_ = awards(wanted, [int(cap * s // block) for s in sizes], total // block)
+    block = max(1, min(total // blocks, int(least // 32)))
+    limits = [int(cap * s // block) for s in sizes]
+    seats = min(total // block, sum(n for n, w in zip(limits, wanted, strict=True) if w > 0))
     rng = np.random.default_rng(seed)
     out = []
-    shard_of = [t * shards // max(1, len(order_)) for t in range(len(order_))]
-    quota = np.zeros((len(sizes), shards), dtype=np.int64)
-    np.add.at(quota, (np.array(order_, dtype=int), np.array(shard_of, dtype=int)), 1)
+    # Award t of all goes to shard t x shards // seats.
+    quota = np.diff([apportioned(wanted, limits, -(-j * seats // shards)) for j in range(shards + 1)], axis=0).T
     for i, size in enumerate(sizes):
         start = int(rng.integers(0, max(1, -(-size // block)))) * block
         edges = start + block * np.concatenate([[0], np.cumsum(quota[i])])
