@@ -50,6 +50,7 @@ IMPLIED["rp"] = IMPLIED["rt"] = (frozenset("rt rp".split()), frozenset("ruby htm
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)>")  # where a quote is never closed
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW | RCDATA}
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
@@ -74,7 +75,6 @@ def _attributes(source: str) -> dict[str, str]:
 def _tokens(html: str) -> Iterator[tuple]:
     """("text", str), ("open", tag, attrs, closed) and ("close", tag); comments and declarations are skipped."""
     at, end = 0, len(html)
-    low = None
     while at < end:
         cut = html.find("<", at)
         if cut < 0:
@@ -102,9 +102,9 @@ def _tokens(html: str) -> Iterator[tuple]:
             continue
         yield "open", tag, _attributes(m[3]) if m[3].strip(" /") else {}, m[3].endswith("/")
         if tag in RAW or tag in RCDATA:
-            low = html.lower() if low is None else low
-            close = low.find(f"</{tag}", at) if len(low) == end else -1
-            body, at = html[at : close if close >= 0 else end], close if close >= 0 else end
+            m = _END[tag].search(html, at)
+            close = m.start() if m else end
+            body, at = html[at:close], close
             if body:
                 yield "raw" if tag in RAW else "text", body if tag in RAW else unescape(body)
         elif tag == "plaintext":
