@@ -1,6 +1,6 @@
 """Layout-aware text of HTML: a tree with implied tags, visibility rules, and a renderer of blocks, lists and tables.
 
-All visible text of a page comes out, in order: blocks on lines of their own with blank lines where a browser leaves
+All visible text of a page comes out, in order (what styles hide is in ``css``; scripts are taken as on, and not run): blocks on lines of their own with blank lines where a browser leaves
 margins, list items behind their markers, table cells aligned in columns. Every step works with a stack of its own,
 so deeply nested pages need no deep recursion, and takes time in proportion to the page.
 """
@@ -17,11 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselwork.llm.css import Styles, on_screen
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template noscript title datalist iframe noembed noframes audio video canvas object svg math area base link meta param source track rp".split())
+UNSEEN = frozenset("script style template noscript iframe noembed noframes audio video canvas object area base link meta param source track".split())
+#: Not displayed unless a style says otherwise.
+NOT_DISPLAYED = frozenset("head title datalist rp".split())
+ROWS = frozenset("tr tbody thead tfoot".split())
+SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc title".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml".split())
+MATH_APART = frozenset("mfrac mroot munder mover munderover mtr mtable".split())  # whose parts stand apart
+#: Tags that end an open svg or math, and those in which HTML may stand.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+FOREIGN = frozenset("svg math".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul xmp".split()
 )
@@ -52,8 +66,6 @@ _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)>")  # where a quote is nev
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW | RCDATA}
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 
 MOST_PAD = 60  # a column is padded to its widest cell, at most to so many characters; cells are never cut
 
@@ -112,9 +124,9 @@ def _tokens(html: str) -> Iterator[tuple]:
             return
 
 
-def parse(html: str) -> tuple[Node, list[str]]:
-    """The tree, and the texts of its style elements."""
-    root = Node("html")
+def parse(html: str) -> tuple[Node, Node, list[str]]:
+    """The tree, the body with its attributes only, and the texts of the style elements that are for screens."""
+    root, body = Node("html"), Node("body")
     stack, styles, headed = [root], [], False
     open_: Counter = Counter()  # so that only tags that are open are looked for
 
@@ -144,7 +156,9 @@ def parse(html: str) -> tuple[Node, list[str]]:
         kind = token[0]
         if kind == "raw":
             if stack[-1].tag == "style":
-                styles.append(token[1])
+                a = stack[-1].attrs
+                if not (open_["template"] or open_["noscript"]) and a.get("type", "").strip().lower() in ("", "text/css") and on_screen(a.get("media", "")):
+                    styles.append(token[1])
             elif stack[-1].tag == "xmp":
                 stack[-1].children.append(token[1])
             continue
@@ -171,7 +185,8 @@ def parse(html: str) -> tuple[Node, list[str]]:
         if tag == "html" or tag == "body":
             if stack[-1].tag == "head":
                 pop_to(len(stack) - 1)
-            stack[0].attrs = {**attrs, **stack[0].attrs}
+            top = root if tag == "html" else body
+            top.attrs = {**attrs, **top.attrs}
             continue
         if tag == "head":
             if not headed and len(stack) == 1:
@@ -180,6 +195,9 @@ def parse(html: str) -> tuple[Node, list[str]]:
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             pop_to(len(stack) - 1)
+        if tag in BREAKS_OUT and (open_["svg"] or open_["math"]):
+            while depth := find(FOREIGN, HOLDS_HTML):
+                pop_to(depth)
         if tag in CLOSES_P and (depth := find(paragraph, SCOPE)):
             pop_to(depth)
         if tag in IMPLIED:
@@ -191,36 +209,50 @@ def parse(html: str) -> tuple[Node, list[str]]:
         if tag.startswith("h") and len(tag) == 2 and tag[1] in "123456" and re.fullmatch("h[1-6]", stack[-1].tag):
             pop_to(len(stack) - 1)
         push(tag, attrs)
-        if tag in VOID or (closed and tag in ("svg", "path", "g", "use", "rect", "circle")):
+        if tag in VOID or (closed and (tag in ("path", "g", "use", "rect", "circle") or (open_["svg"] or open_["math"]) and not open_["foreignobject"])):
             pop_to(len(stack) - 1)
-    return root, styles
+    return root, body, styles
+
 
+class Shown:
+    """What of an element shows. States are (visible, in svg, its text or math, bits that ancestors match, bits that the parent matches)."""
 
-class Hidden:
-    """Simple selectors (tag, .class, #id and tag.class) that style sheets hide."""
+    TOP = (True, "", 0, 0)
 
     def __init__(self, styles: list[str]):
-        self.rules: set[tuple[str, str]] = set()
-        for sheet in styles:
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-                if _HIDES.search(body):
-                    for one in selectors.split(","):
-                        if m := re.fullmatch(r"([A-Za-z][\w-]*)?([.#][\w-]+)?", one.strip()):
-                            self.rules.add(((m[1] or "").lower(), m[2] or ""))
-        self.rules.discard(("", ""))
-
-    def __call__(self, node: Node) -> bool:
+        self.styles = Styles(styles)
+
+    def __call__(self, node: Node, state: tuple) -> tuple | None:
+        """The state of an element in one of ``state``; none if nothing of it is displayed."""
         a, tag = node.attrs, node.tag
-        if tag in UNSEEN or "hidden" in a and a["hidden"] != "until-found":
-            return True
-        if tag == "input" and a.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in a:
-            return True
-        if "style" in a and _HIDES.search(a["style"]):
-            return True
-        if self.rules:
-            marks = ["", *(f".{c}" for c in a.get("class", "").split()), *([f"#{a['id']}"] if a.get("id") else [])]
-            return any((t, m) in self.rules for m in marks for t in ("", tag))
-        return False
+        visible, inside, above, parent = state
+        if tag in UNSEEN or inside == "svg" and tag in SVG_UNSEEN or inside == "math" and tag in MATH_UNSEEN:
+            return None
+        if tag == "input" and a.get("type", "").lower() == "hidden":
+            return None
+        shown = not (tag in NOT_DISPLAYED or "hidden" in a and a["hidden"] != "until-found" or tag == "dialog" and "open" not in a)
+        if tag == "mphantom" and inside == "math":
+            visible = False
+        if self.styles.steps or "style" in a:
+            said, own = self.styles(tag, a, above, parent, tag == "html")
+            display, visibility = said.get("display", "revert"), said.get("visibility", "inherit")
+            if display not in ("revert", "revert-layer"):
+                shown = display != "none"
+            if visibility in ("visible", "initial"):
+                visible = True
+            elif visibility in ("hidden", "collapse"):
+                visible = False
+                shown = shown and not (visibility == "collapse" and tag in ROWS)
+            above, parent = above | own, own
+        if not shown:
+            return None
+        if tag in FOREIGN:
+            inside = tag
+        elif inside == "svg" and tag == "text":
+            inside = "text"
+        elif tag == "foreignobject":
+            inside = ""
+        return visible, inside, above, parent
 
 
 class Canvas:
@@ -345,25 +377,32 @@ def _marker(node: Node, index: int) -> str:
     return f"{index}. "
 
 
-def render(root: Node, hides: Hidden) -> list[str]:
-    """Lines of the visible text. Frames on the stack are (node, children still to come, what to do at the end)."""
+def render(root: Node, body: Node, shows: Shown) -> list[str]:
+    """Lines of the visible text. Frames on the stack are (node, children still to come, what to do at the end, whether blanks are kept, state)."""
     canvas = Canvas()
     stack: list = []
     tables: list[Table] = []
     counters: list = []  # per open list: the next number, or None
 
-    def enter(node: Node) -> None:
+    def enter(node: Node, outer: tuple) -> None:
         nonlocal canvas
         tag = node.tag
-        if hides(node):
+        state = shows(node, outer)
+        if state and node is root:
+            state = shows(body, state)
+        if not state:
             return
+        visible, inside = state[:2]
         if tag == "br":
-            canvas.newline()
+            if visible:
+                canvas.newline()
+            else:
+                canvas.block(False)
             return
         if tag == "wbr":
             return
         if tag == "input":
-            if node.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "tel", "url", "number"):
+            if visible and node.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "tel", "url", "number"):
                 canvas.write(node.attrs.get("value", ""))
             return
         children = iter(node.children)
@@ -430,17 +469,18 @@ def render(root: Node, hides: Hidden) -> list[str]:
 
         elif tag == "li":
             canvas.block(False)
-            if canvas.marker:  # an item that begins with a list shows both markers on one line
+            if canvas.marker and visible:  # an item that begins with a list shows both markers on one line
                 canvas._begin()
             mark = "* "
             if counters and counters[-1][1] is not None:
                 index = _number(node.attrs.get("value", ""), counters[-1][1], 10**9)
                 mark, counters[-1][1] = _marker(counters[-1][0], index), index + 1
             depth = len(canvas.prefix)
-            canvas.marker = mark
+            if visible:
+                canvas.marker = mark
 
             def leave():
-                if before.marker:  # an empty item
+                if before.marker and visible:  # an empty item
                     before.newline()
                 del before.prefix[depth:]
                 before.block(False)
@@ -460,12 +500,24 @@ def render(root: Node, hides: Hidden) -> list[str]:
             def leave():
                 before.block(tag != "textarea")
 
-        elif tag == "q":
+        elif tag == "q" and visible:
             canvas.write("“")
 
             def leave():
                 before.write("”")
 
+        elif inside == "text" and (tag == "text" or {"x", "y", "dy"} & node.attrs.keys()):  # placed on its own
+            canvas.block(False)
+
+            def leave():
+                before.block(False)
+
+        elif inside == "math" and stack[-1][0].tag in MATH_APART or tag == "math":
+            canvas.write(" ")
+
+            def leave():
+                before.write(" ")
+
         elif tag in BLOCKS:
             canvas.block(tag in SPACED)
 
@@ -473,18 +525,20 @@ def render(root: Node, hides: Hidden) -> list[str]:
                 before.block(tag in SPACED)
 
         keeps = bool(stack and stack[-1][3]) or tag in ("pre", "listing", "xmp", "textarea", "plaintext")
-        stack.append((node, children, leave, keeps))
+        stack.append((node, children, leave, keeps, state))
 
-    enter(root)
+    enter(root, Shown.TOP)
     while stack:
-        node, children, leave, keeps = stack[-1]
+        node, children, leave, keeps, state = stack[-1]
         child = next(children, None)
         if child is None:
             stack.pop()
             if leave:
                 leave()
         elif isinstance(child, Node):
-            enter(child)
+            enter(child, state)
+        elif not state[0] or state[1] == "svg":
+            continue
         elif keeps:
             parts = child.expandtabs(8).replace("\r\n", "\n").replace("\r", "\n").split("\n")
             for i, part in enumerate(parts):
@@ -503,8 +557,8 @@ def text_of(html: str | None) -> str:
     """All visible text of a page; nothing for null."""
     if not html:
         return ""
-    root, styles = parse(html)
-    lines = render(root, Hidden(styles))
+    root, body, styles = parse(html)
+    lines = render(root, body, Shown(styles))
     while lines and not lines[0]:
         lines.pop(0)
     return "\n".join(lines)
