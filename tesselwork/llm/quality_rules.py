@@ -3,7 +3,8 @@
 Every measure of a text is a column expression. Per language and source one KLL sketch of each measure is built by
 partial aggregation (a sketch has a bounded size and sketches of parts merge, so a hot source is never gathered in
 one task). Its quartiles give Tukey fences; pairs with few rows take the fences of their language, or of all
-rows, from the merged sketches. The fences are joined back to filter the rows. No Python runs on the executors.
+rows, from the merged sketches. No pair's fences lie beyond those of its language, so that a source in which poor
+texts are common does not excuse them. The fences are joined back to filter the rows. No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from tesselwork.sources.scratch import written
 SYMBOLS = "#*$%&|<>"
 #: Measures held against fences, and how far a fence lies from its quartile at least: nearer, spreads are noise.
 MEASURES = {"chars_per_word": 6.0, "symbols_per_word": 0.15, "marks_per_word": 0.15, "upper_share": 0.25, "dup_line_share": 0.5, "repeat_share": 0.2, "echo_share": 0.2}
+#: Characters a word are held against a low fence by ratio: the quartile x (quartile / upper quartile) ^ reach, at most by this part of it.
+LEAST_RATIO = 0.5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -102,14 +105,18 @@ def fences(shares: DataFrame, k: int, reach: float, least_rows: int) -> DataFram
     def cut(d: DataFrame, tag: str) -> DataFrame:
         def one(m: str) -> Column:
             q = F.kll_sketch_get_quantile_double(F.col(m), F.array(F.lit(0.25), F.lit(0.75)))
-            gap = F.greatest(F.lit(reach) * (F.get(q, F.lit(1)) - F.get(q, F.lit(0))), F.lit(MEASURES[m]))
-            return F.struct(F.bround(F.get(q, F.lit(0)) - gap, 2).alias("low"), F.bround(F.get(q, F.lit(1)) + gap, 2).alias("high")).alias(m)
+            q1, q3 = F.get(q, F.lit(0)), F.get(q, F.lit(1))
+            gap = F.greatest(F.lit(reach) * (q3 - q1), F.lit(MEASURES[m]))
+            low = q1 * F.least(F.pow(q1 / q3, F.lit(reach)), F.lit(LEAST_RATIO)) if m == "chars_per_word" else q1 - gap  # a text of words has characters
+            return F.struct(F.bround(low, 2).alias("low"), F.bround(q3 + gap, 2).alias("high")).alias(m)
 
         return d.where("n > 0").select(*[c for c in ("lang", "source") if c in d.columns], F.col("n").alias(f"n_{tag}"), F.struct(*[one(m) for m in names]).alias(tag))
 
     a, b, c = cut(own, "own").alias("a"), cut(by_lang, "wide").alias("b"), cut(every, "all").alias("c")
     both = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(F.broadcast(c), F.lit(True), "left")  # c is one row
-    chosen = F.when(F.col("n_own") >= least_rows, F.col("own")).when(F.col("n_wide") >= least_rows, F.col("wide")).otherwise(F.col("all"))
+    bounded = lambda m: F.struct(F.greatest(f"own.{m}.low", f"wide.{m}.low").alias("low"), F.least(f"own.{m}.high", f"wide.{m}.high").alias("high")).alias(m)
+    within = F.when(F.col("a.lang").isNull(), F.col("own")).otherwise(F.struct(*[bounded(m) for m in names]))  # rows without a language share none
+    chosen = F.when(F.col("n_own") >= least_rows, within).when(F.col("n_wide") >= least_rows, F.col("wide")).otherwise(F.col("all"))
     return both.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), chosen.alias("fence"))
 
 
