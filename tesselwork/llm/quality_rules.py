@@ -1,10 +1,13 @@
 """Quality rules whose thresholds adapt to each language and source, from mergeable quantile sketches.
 
-Every measure of a text is a column expression. Per language and source one KLL sketch of each measure is built by
-partial aggregation (a sketch has a bounded size and sketches of parts merge, so a hot source is never gathered in
-one task). Its quartiles give Tukey fences; pairs with few rows take the fences of their language, or of all
-rows, from the merged sketches. No pair's fences lie beyond those of its language, so that a source in which poor
-texts are common does not excuse them. The fences are joined back to filter the rows. No Python runs on the executors.
+Every measure of a text is a count over its opportunities (symbols over words, capitals over letters), made by column
+expressions. Per language and source one KLL sketch of each rate is built by partial aggregation (a sketch has a
+bounded size and sketches of parts merge, so a hot source is never gathered in one task). Its quartiles say what is
+usual there: a text fails where its rate lies beyond them by ``reach`` times their distance and ``reach`` times the
+noise that counting in a text of its length has. There are no fixed cutoffs: the same text may pass in one source and
+fail in another. Pairs with few rows take the quartiles of their language, or of all rows, from the merged sketches.
+No pair excuses more than its language does, so that a source in which poor texts are common does not excuse them. The
+quartiles are joined back to filter the rows. No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -16,10 +19,19 @@ from tesselwork.llm.columns import text_or_empty, words
 from tesselwork.sources.scratch import written
 
 SYMBOLS = "#*$%&|<>"
-#: Measures held against fences, and how far a fence lies from its quartile at least: nearer, spreads are noise.
-MEASURES = {"chars_per_word": 6.0, "symbols_per_word": 0.15, "marks_per_word": 0.15, "upper_share": 0.25, "dup_line_share": 0.5, "repeat_share": 0.2, "echo_share": 0.2}
-#: Characters a word are held against a low fence by ratio: the quartile x (quartile / upper quartile) ^ reach, at most by this part of it.
-LEAST_RATIO = 0.5
+#: measure -> (count, opportunities, opportunities that one event fills): a word has some five letters, and a repeat
+#: is at least two windows of five words. By these sizes the noise of counting goes, not by what is good or poor.
+MEASURES = {
+    "chars_per_word": ("word_chars", "n_words", 5),
+    "symbols_per_word": ("n_symbols", "n_words", 1),
+    "marks_per_word": ("n_marks", "n_words", 1),
+    "upper_share": ("n_upper", "word_chars", 5),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1),
+    "repeat_share": ("n_repeat_words", "n_words", 10),
+    "echo_share": ("n_echoes", "n_words", 1),
+}
+TWO_SIDED = ("chars_per_word",)  # the others cannot be too low
+DIGITS = 3  # quartiles are rounded to so many digits, since a sketch's vary by its random bits
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -80,22 +92,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def _shares(rows: DataFrame) -> DataFrame:
-    per = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("double")
-    return rows.withColumns(
-        {
-            "chars_per_word": per("word_chars", "n_words"),
-            "symbols_per_word": per("n_symbols", "n_words"),
-            "marks_per_word": per("n_marks", "n_words"),
-            "upper_share": per("n_upper", "word_chars"),
-            "dup_line_share": per("n_dup_lines", "n_lines"),
-            "repeat_share": per("n_repeat_words", "n_words"),
-            "echo_share": per("n_echoes", "n_words"),
-        }
-    )
+    return rows.withColumns({m: (F.col(count) / F.greatest(F.col(of), F.lit(1))).cast("double") for m, (count, of, _) in MEASURES.items()})
 
 
-def fences(shares: DataFrame, k: int, reach: float, least_rows: int) -> DataFrame:
-    """Per language and source: n rows, and low_ and high_ of each measure."""
+def quartiles(shares: DataFrame, k: int, least_rows: int) -> DataFrame:
+    """Per language and source: of each measure, the pair's own quartiles and those that bound them."""
     names = list(MEASURES)
     own = shares.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in names])
     merged = lambda d, *keys: d.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in names])
@@ -105,19 +106,30 @@ def fences(shares: DataFrame, k: int, reach: float, least_rows: int) -> DataFram
     def cut(d: DataFrame, tag: str) -> DataFrame:
         def one(m: str) -> Column:
             q = F.kll_sketch_get_quantile_double(F.col(m), F.array(F.lit(0.25), F.lit(0.75)))
-            q1, q3 = F.get(q, F.lit(0)), F.get(q, F.lit(1))
-            gap = F.greatest(F.lit(reach) * (q3 - q1), F.lit(MEASURES[m]))
-            low = q1 * F.least(F.pow(q1 / q3, F.lit(reach)), F.lit(LEAST_RATIO)) if m == "chars_per_word" else q1 - gap  # a text of words has characters
-            return F.struct(F.bround(low, 2).alias("low"), F.bround(q3 + gap, 2).alias("high")).alias(m)
+            return F.struct(*[F.bround(F.get(q, F.lit(i)), DIGITS).alias(name) for i, name in enumerate(("q1", "q3"))]).alias(m)
 
         return d.where("n > 0").select(*[c for c in ("lang", "source") if c in d.columns], F.col("n").alias(f"n_{tag}"), F.struct(*[one(m) for m in names]).alias(tag))
 
     a, b, c = cut(own, "own").alias("a"), cut(by_lang, "wide").alias("b"), cut(every, "all").alias("c")
     both = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(F.broadcast(c), F.lit(True), "left")  # c is one row
-    bounded = lambda m: F.struct(F.greatest(f"own.{m}.low", f"wide.{m}.low").alias("low"), F.least(f"own.{m}.high", f"wide.{m}.high").alias("high")).alias(m)
-    within = F.when(F.col("a.lang").isNull(), F.col("own")).otherwise(F.struct(*[bounded(m) for m in names]))  # rows without a language share none
-    chosen = F.when(F.col("n_own") >= least_rows, within).when(F.col("n_wide") >= least_rows, F.col("wide")).otherwise(F.col("all"))
-    return both.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), chosen.alias("fence"))
+    outer = F.when(F.col("n_wide") >= least_rows, F.col("wide")).otherwise(F.col("all"))
+    bound = F.when(F.col("a.lang").isNull(), F.col("own")).otherwise(outer)  # rows without a language share none
+    inner = F.when(F.col("n_own") >= least_rows, F.col("own")).otherwise(outer)
+    return both.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), inner.alias("own"), F.when(F.col("n_own") >= least_rows, bound).otherwise(outer).alias("bound"))
+
+
+def beyond(measure: str, own: str, bound: str, reach: float) -> Column:
+    """Whether a row's rate lies beyond the fences that either pair of quartiles sets for a text of its length."""
+    count, of, fills = MEASURES[measure]
+    n = F.greatest(F.col(of), F.lit(1))
+
+    def outside(of_group: str) -> Column:
+        q1, q3 = F.col(f"{of_group}.{measure}.q1"), F.col(f"{of_group}.{measure}.q3")
+        noise = lambda q: F.sqrt(q * n * fills + F.lit(fills * fills)) / n
+        out = F.col(measure) > q3 + F.lit(reach) * (q3 - q1 + noise(q3))
+        return out | (F.col(measure) < q1 - F.lit(reach) * (q3 - q1 + noise(q1))) if measure in TWO_SIDED else out
+
+    return outside(own) | outside(bound)
 
 
 def quality_rules(
@@ -133,17 +145,17 @@ def quality_rules(
     """Return doc_id, lang, source, the counts, base_failed, failed (names of measures beyond fences) and kept.
 
     A text fails the base rules with fewer than 10 words, or where over 20 % of its words are in repeated windows.
-    Fences come from all rows that pass them; null languages and sources are groups like others, a null or empty
+    Quartiles come from all rows that pass them; null languages and sources are groups like others, a null or empty
     text has no words and fails. Repeated rows are judged alike. An empty table gives no rows. Other columns are
-    not read. Fences are rounded to hundredths, since a sketch's quantiles vary by its random bits.
+    not read. Groups of up to ``k`` rows have exact quartiles, larger ones those of a sketch.
     """
     rows = measured(docs, id_col, text_col, lang_col, source_col)
     bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = _shares(written(rows.withColumn("base_failed", bad), "quality-counts"))
-    limits = fences(rows.where(~F.col("base_failed")), k, reach, least_rows)
+    limits = quartiles(rows.where(~F.col("base_failed")), k, least_rows)
     joined = rows.alias("r").join(limits.alias("f"), F.col("r.lang").eqNullSafe(F.col("f.lang")) & F.col("r.source").eqNullSafe(F.col("f.source")), "left")
-    beyond = F.array_compact(F.array(*[F.when((F.col(m) < F.col(f"fence.{m}.low")) | (F.col(m) > F.col(f"fence.{m}.high")), F.lit(m)) for m in MEASURES]))
+    failed = F.array_compact(F.array(*[F.when(beyond(m, "f.own", "f.bound", reach), F.lit(m)) for m in MEASURES]))
     return joined.select(
-        "doc_id", F.col("r.lang").alias("lang"), F.col("r.source").alias("source"), *COUNTS, "base_failed", beyond.alias("failed"),
-        (~F.col("base_failed") & (F.size(beyond) == 0)).alias("kept"),
+        "doc_id", F.col("r.lang").alias("lang"), F.col("r.source").alias("source"), *COUNTS, "base_failed", failed.alias("failed"),
+        (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"),
     )
