@@ -41,7 +41,7 @@ def op4_layout_text(spark: SparkSession, folder: str) -> DataFrame:
 def op5_transport_streams(spark: SparkSession, folder: str) -> DataFrame:
     """Each text muxed to a stream, and everything below read back from the stream."""
     out = media.demux(media.mux(table(spark, folder, "documents")))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "access")
 
 
 #: Conversation -1 of the contract: control strings inside texts.

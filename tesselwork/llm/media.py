@@ -2,8 +2,9 @@
 
 ``mux`` stores bytes losslessly as a single-program transport stream: a program association table, a program map
 table, and elementary packets (PES) of a private stream with presentation timestamps and random-access points.
-``demux`` parses any such stream from its bytes alone: tables with their checksums, continuity counters,
-reassembly of the elementary packets, timestamps. Both work on whole blocks of 188-byte packets as arrays.
+``demux`` parses any transport stream from its bytes alone: tables with their checksums, also over several packets
+and for several programs, continuity counters, reassembly of the elementary packets, timestamps. What is damaged is
+counted and passed over; no bytes make it fail. Both work on whole blocks of 188-byte packets as arrays.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 # Fixed values of the transport stream format.
 PACKET, SYNC, NULL_PID, PAT_PID = 188, 0x47, 0x1FFF, 0
 PRIVATE_STREAM, PRIVATE_TYPE, CLOCK = 0xBD, 0x06, 90_000
+PLAIN_STREAMS = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)  # stream ids without timestamps
 
 UNIT = 192  # payloads are padded with spaces to a positive multiple of it
 PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -116,15 +118,61 @@ def mux_bytes(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
+def _payload(row: np.ndarray) -> bytes:
+    """What a packet carries after its header and adaptation field; nothing where the field fills it."""
+    if not row[3] & 0x10:
+        return b""
+    return row[5 + int(row[4]) :].tobytes() if row[3] & 0x20 else row[4:].tobytes()
+
+
 def _sections(p: np.ndarray, pid: int, pids: np.ndarray) -> list[bytes]:
-    """Sections that one packet holds, checked by their CRC."""
-    out = []
-    for row in p[(pids == pid) & (p[:, 1] & 0x40 > 0)]:
-        body = row[4:].tobytes() if not row[3] & 0x20 else row[5 + row[4] :].tobytes()
-        body = body[1 + body[0] :]
-        body = body[: 3 + ((body[1] & 0x0F) << 8 | body[2])]
-        if len(body) >= 12 and mpeg_crc(body) == 0:
-            out.append(body)
+    """Sections of one PID, checked by their CRC. A section may run over several packets, and a packet may hold more."""
+    out: list[bytes] = []
+    held, counter = None, None  # bytes since the start of a section; None before the first
+
+    def cut(data: bytes) -> bytes | None:
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = 3 + ((data[1] & 0x0F) << 8 | data[2])
+            if len(data) < size:
+                return data
+            if size >= 12 and mpeg_crc(data[:size]) == 0:
+                out.append(data[:size])
+            data = data[size:]
+        return data if 0 < len(data) < 3 and data[0] != 0xFF else None
+
+    for row in p[pids == pid]:
+        body, now = _payload(row), int(row[3]) & 0x0F
+        if not body or now == counter:  # a packet may be sent twice
+            continue
+        if counter is not None and now != (counter + 1) & 0x0F:
+            held = None  # a lost packet ends the section that it was part of
+        counter = now
+        if row[1] & 0x40:
+            start = 1 + body[0]
+            if held is not None:
+                cut(held + body[1:start])
+            held = cut(body[start:])
+        elif held is not None:
+            held = cut(held + body)
+    return out
+
+
+def _programs(p: np.ndarray, pids: np.ndarray) -> list[tuple[int, int, int]]:
+    """(program, stream type, PID) of all streams, in the order of the tables."""
+    out, seen = [], set()
+    for section in _sections(p, PAT_PID, pids):
+        for at in range(8, len(section) - 7, 4):
+            program, map_pid = int.from_bytes(section[at : at + 2], "big"), int.from_bytes(section[at + 2 : at + 4], "big") & 0x1FFF
+            if section[0] != 0 or not program or program in seen:  # program 0 names the network's own table
+                continue
+            for table in _sections(p, map_pid, pids):
+                if table[0] != 2 or int.from_bytes(table[3:5], "big") != program or program in seen:
+                    continue
+                seen.add(program)
+                spot = 12 + (int.from_bytes(table[10:12], "big") & 0x0FFF)
+                while spot + 5 <= len(table) - 4:
+                    out.append((program, table[spot], int.from_bytes(table[spot + 1 : spot + 3], "big") & 0x1FFF))
+                    spot += 5 + (int.from_bytes(table[spot + 3 : spot + 5], "big") & 0x0FFF)
     return out
 
 
@@ -147,32 +195,43 @@ def _elementary(p: np.ndarray) -> tuple[list[bytes], list[bool], int]:
     return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], random[begins].tolist(), faults
 
 
+def _unit(unit: bytes) -> tuple[bytes, int | None] | None:
+    """Payload and timestamp of an elementary packet; None where its head is damaged or cut."""
+    if len(unit) < 9 or unit[:3] != b"\x00\x00\x01":
+        return None
+    size = int.from_bytes(unit[4:6], "big")
+    end = min(len(unit), 6 + size) if size else len(unit)
+    if unit[3] in PLAIN_STREAMS:
+        return unit[6:end], None
+    t, pts = unit[9:14], None
+    if unit[7] & 0x80 and unit[8] >= 5 and len(t) == 5:
+        pts = (t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1
+    return unit[9 + unit[8] : end], pts
+
+
 def demux_bytes(media: bytes) -> dict:
-    """Streams of the first program: pes (bytes, pts, random access), counter faults, and lost sync bytes."""
+    """All streams of all programs, in the order of the tables: pes (bytes, pts, random access), counter faults, lost
+    sync bytes and damaged elementary packets; program, pid and stream_type are those of the first stream."""
     n = len(media) // PACKET
     p = np.frombuffer(media, dtype=np.uint8, count=n * PACKET).reshape(n, PACKET)
     bad_sync = int((p[:, 0] != SYNC).sum()) + (len(media) % PACKET > 0)
     p = p[(p[:, 0] == SYNC) & (p[:, 1] & 0x80 == 0)]
     pids = (p[:, 1].astype(np.int64) & 0x1F) << 8 | p[:, 2]
-    out = {"packets": n, "bad_sync": bad_sync, "faults": 0, "program": None, "pid": None, "stream_type": None, "pes": []}
-    programs = [s for s in _sections(p, PAT_PID, pids) if s[0] == 0]
-    if not programs:
-        return out
-    out["program"], map_pid = int.from_bytes(programs[0][8:10], "big"), int.from_bytes(programs[0][10:12], "big") & 0x1FFF
-    maps = [s for s in _sections(p, map_pid, pids) if s[0] == 2]
-    if not maps:
-        return out
-    at = 12 + (int.from_bytes(maps[0][10:12], "big") & 0x0FFF)
-    out["stream_type"], out["pid"] = maps[0][at], int.from_bytes(maps[0][at + 1 : at + 3], "big") & 0x1FFF
-    units, random, out["faults"] = _elementary(p[pids == out["pid"]])
-    for unit, access in zip(units, random, strict=True):
-        if unit[:3] != b"\x00\x00\x01":
-            continue
-        t, pts = unit[9:14], None
-        if unit[7] & 0x80:
-            pts = (t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1
-        size = int.from_bytes(unit[4:6], "big")
-        out["pes"].append((unit[9 + unit[8] : 6 + size if size else None], pts, access))
+    out = {"packets": n, "bad_sync": bad_sync, "faults": 0, "damaged": 0, "program": None, "pid": None, "stream_type": None, "pes": [], "streams": []}
+    for program, kind, pid in _programs(p, pids):
+        if any(pid == known for _, _, known in out["streams"]):
+            continue  # programs may share a stream
+        if not out["streams"]:
+            out["program"], out["stream_type"], out["pid"] = program, kind, pid
+        out["streams"].append((program, kind, pid))
+        units, random, faults = _elementary(p[pids == pid])
+        out["faults"] += faults
+        for unit, access in zip(units, random, strict=True):
+            got = _unit(unit)
+            if got is None:
+                out["damaged"] += 1
+            else:
+                out["pes"].append((*got, access))
     return out
 
 

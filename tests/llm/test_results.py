@@ -196,6 +196,65 @@ def test_transport_stream_faults():
     assert media.demux_bytes(b"")["pes"] == [] and media.demux_bytes(b"junk" * 100)["program"] is None
 
 
+def stream_of(programs: dict, split: int) -> bytes:
+    """A stream of several programs: {program: (map PID, [(type, PID, payload)])}; tables in pieces of ``split`` bytes."""
+    counters: Counter = Counter()
+
+    def packets(pid, data):
+        out, first = b"", True
+        while data or first:
+            head = b"\x00" if first else b""
+            piece, data = data[: split - len(head)], data[split - len(head) :]
+            body = head + piece
+            room = 184 - len(body)
+            field = b"" if not room else bytes([room - 1]) + (b"\x00" + b"\xff" * (room - 2) if room > 1 else b"")
+            out += bytes([0x47, (0x40 if first else 0) | pid >> 8, pid & 0xFF, (0x30 if field else 0x10) | counters[pid] & 15]) + field + body
+            counters[pid] += 1
+            first = False
+        return out
+
+    pat = media._section(0, 1, b"".join(n.to_bytes(2, "big") + (0xE000 | pid).to_bytes(2, "big") for n, (pid, _) in programs.items()))
+    out = packets(0, pat)
+    for n, (pid, streams) in programs.items():
+        es = b"".join(bytes([kind]) + (0xE000 | own).to_bytes(2, "big") + b"\xf0\x03\x52\x01\x07" for kind, own, _ in streams)
+        out += packets(pid, media._section(2, n, (0xE000 | streams[0][1]).to_bytes(2, "big") + b"\xf0\x00" + es))
+    for _, streams in programs.values():
+        for _, own, payload in streams:
+            block, _ = media._packets(media._pes(payload, 90_000 * own), 0, True)
+            block[:, 1] = block[:, 1] & 0xE0 | own >> 8
+            block[:, 2] = own & 0xFF
+            out += block.tobytes()
+    return out
+
+
+@pytest.mark.parametrize("split", [184, 40, 11])
+def test_programs_and_tables_over_several_packets(split):
+    programs = {7: (0x30, [(27, 0x31, b"video" * 900), (15, 0x32, b"sound" * 50)]), 9: (0x40, [(6, 0x41, b"more")])}
+    got = media.demux_bytes(stream_of(programs, split))
+    assert got["streams"] == [(7, 27, 0x31), (7, 15, 0x32), (9, 6, 0x41)] and (got["program"], got["pid"], got["stream_type"]) == (7, 0x31, 27)
+    assert [x for x, _, _ in got["pes"]] == [b"video" * 900, b"sound" * 50, b"more"] and [t for _, t, _ in got["pes"]] == [90_000 * x for x in (0x31, 0x32, 0x41)]
+    assert got["faults"] == got["bad_sync"] == got["damaged"] == 0
+
+
+def test_damaged_streams_do_not_fail():
+    draw = random.Random(8)
+    whole = [media.mux_bytes(media.padded("z" * 9_000)), stream_of({1: (0x30, [(27, 0x31, b"v" * 700)])}, 30)]
+    for k in range(6000):
+        data = bytearray(whole[k % 2][: 188 * draw.randint(1, 12)])
+        for _ in range(draw.randint(1, 8)):
+            at = draw.randrange(len(data))
+            data[at - at % 188 + draw.randrange(14) if draw.random() < 0.7 and at - at % 188 + 14 < len(data) else at] = draw.randrange(256)
+        got = media.demux_bytes(bytes(data))
+        assert media.feature(got)
+
+
+def test_media_query_stores_times_and_access_points(result, documents):
+    got = result("op5_transport_streams").set_index("doc_id")
+    for i, t in zip(documents.doc_id, documents.text, strict=True):
+        n = max(1, -(-len(t.encode()) // (192 * 64)))
+        assert list(got.pts[i]) == [3600 * k for k in range(n)] and list(got.access[i]) == [k % 4 == 0 for k in range(n)]
+
+
 def test_media_query(result, documents):
     got = result("op5_transport_streams").set_index("doc_id")
     for i, t in zip(documents.doc_id, documents.text, strict=True):
@@ -217,6 +276,27 @@ def test_quality_em_weighs_labellers():
     assert p["----1111"] > 0.9 and p["------1-"] > 0.5 and max(p["0---1101"], p["-0--1001"], p["--001-0-"]) < 0.1
 
 
+def test_quality_model_equals_its_plain_version(result, documents):
+    """What is kept of the written rows is what the whole text says, word by word and without any memory of words."""
+    import math
+
+    def plain(t):
+        w = WORD.findall(t)
+        n, c = max(1, len(w)), Counter(w)
+        good = re.compile(r"[(\"'¿¡]?\w[\w'’.-]*+[.,;:?!)\"']?")
+        return {
+            "symbols": sum(t.count(x) for x in "#*$%&<>{}\\^~=") / n, "bars": t.count("|") / n, "marks": (t.count("!") + t.count("?")) / n, "repeats": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+            "shouting": sum(k for x, k in c.items() if x.isupper() and sum(map(str.isalpha, x)) > 1) / n, "variety": len(c) / n**0.85, "top": max(c.values(), default=0) / n,
+            "sentences": (t.count(". ") + t.count(".\n") + t.endswith(".")) / n, "plain": sum(k for x, k in c.items() if good.fullmatch(x)) / n, "digits": sum(map(str.isdigit, t)) / max(1, len(t)), "words": len(w),
+        }
+
+    got = result("op6_weak_label_quality").set_index("doc_id")
+    for i, t in zip(documents.doc_id, documents.text, strict=True):
+        want, have = plain(t), quality_model.measures(t)
+        assert set(want) == set(have) and all(math.isclose(want[k], have[k]) for k in want)
+        assert got.votes[i] == quality_model.vote(want)
+
+
 # --- 7
 
 
