@@ -3,12 +3,14 @@
 A document's ids plus one closing id are cut into full pieces of the sequence length and a tail. Full pieces are
 sequences of their own; tails are packed by first-fit decreasing, with the leftmost sequence that still has room
 found by descending a tournament tree of free room. Groups are drawn by a hash of the document, so a group is a
-fair sample of lengths whatever the order or source of the input, and packing one is independent of the others.
+fair sample of lengths whatever the order or source of the input, and packing one is independent of the others. Rows
+that repeat id and text are dealt to groups one by one, so that however many there are no group holds them all.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselwork.llm.tokens import id_bytes
+from tesselwork.sources.scratch import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp int"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -58,12 +61,20 @@ def first_fit_decreasing(lengths: list[int], length: int) -> list[tuple[int, int
     return out
 
 
-def _pieces(vocabulary: str, length: int):
+def _pieces(vocabulary: str, length: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, close = id_bytes(vocabulary), (0).to_bytes(4, "little")
-        for batch in batches:
+        import xxhash
+        from pyspark import TaskContext
+
+        encode, close, task = id_bytes(vocabulary), (0).to_bytes(4, "little"), TaskContext.get().partitionId()
+        for n, batch in enumerate(batches):
             cols: list[list] = [[] for _ in range(6)]
-            for doc, text, grp in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            seen: Counter = Counter()
+            for doc, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                grp = h % groups
+                if seen[h]:  # rows that repeat id and text are interchangeable
+                    grp = xxhash.xxh3_64_intdigest(f"{h}:{task}:{n}:{seen[h]}") % groups
+                seen[h] += 1
                 ids = memoryview(encode(text.as_py() or "") + close)
                 tokens = len(ids) // 4
                 for start in range(0, tokens, length):
@@ -114,6 +125,7 @@ def pack(
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(groups)).cast("int").alias("grp"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 1).alias("h"),
     )
-    return rows.mapInArrow(_pieces(vocabulary, length), PIECES).groupBy("grp").applyInArrow(_pack(length), PLACED)
+    pieces = written(rows.mapInArrow(_pieces(vocabulary, length, groups), PIECES), "pack-pieces")  # the groups of repeated rows are fixed here
+    return pieces.groupBy("grp").applyInArrow(_pack(length), PLACED)

@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary, as unsigned 32-bit bytes (little-endian hosts).
 
-The ids are those of ``tokenizers`` for the same vocabulary file with special strings taken as ordinary text; the
-faster of the installed encoders makes them, and tests hold the two against each other.
+The ids are those of ``tokenizers`` for the same vocabulary file with add_special_tokens=False: nothing is added, and a
+special string inside a text is its own id. The faster of the installed encoders makes them, and tests hold the two
+against each other.
 """
 
 from __future__ import annotations
@@ -25,11 +26,19 @@ def _made_from(vocabulary: str) -> Callable[[str], bytes]:
 
     with open(vocabulary, encoding="utf-8") as file:
         model = json.load(file)
-    char, special = _byte_of_char(), {t["content"] for t in model.get("added_tokens", [])}
+    added = model.get("added_tokens", [])
+    char, special = _byte_of_char(), {t["content"]: t["id"] for t in added}
+    if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{vocabulary} has special strings that take in what stands beside them")
     ranks = {bytes(char[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: this vocabulary's word pattern
-    encode = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: array("I", encode(text)).tobytes()
+    made = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> bytes:
+        held = any(x in text for x in special)
+        return array("I", made.encode(text, allowed_special="all") if held else made.encode_ordinary(text)).tobytes()
+
+    return encode
 
 
 def id_bytes(vocabulary: str) -> Callable[[str], bytes]:

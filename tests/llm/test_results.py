@@ -103,9 +103,10 @@ def test_tokens_equal_the_library(documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(catalog.vocabulary())
-    t.encode_special_tokens = True
     of = id_bytes(catalog.vocabulary())
-    for x in [*documents.text[:100], "", " ", "  a  b ", "a\n b", "don't we'll \t\r\n z", "<|endoftext|> hi", "日本語 12"]:
+    draw = random.Random(6)
+    mixed = ["".join(draw.choice(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "ab", "'ll", "1", "é", "日", "."]) for _ in range(draw.randint(0, 12))) for _ in range(500)]
+    for x in [*documents.text[:100], *mixed, "", " ", "  a  b ", "a\n b", "don't we'll \t\r\n z", "<|endoftext|> hi", "a <|endoftext|> b", "日本語 12"]:
         assert np.frombuffer(of(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
@@ -138,6 +139,16 @@ def test_packing_query(result, documents):
     assert got.length.sum() / (1024 * got.sequence_id.nunique()) > 0.98
 
 
+def test_repeated_rows_are_dealt_to_many_groups(spark):
+    from tesselwork.llm.packing import pack
+
+    rows = [(1, "the same row again and again")] * 900 + [(i, f"row {i}") for i in range(2, 100)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), catalog.vocabulary(), docs_per_group=50).toPandas()
+    groups = got[got.doc_id == 1].sequence_id.floordiv(1 << 32).value_counts()
+    assert len(got) == len(rows) and len(groups) == 20 and groups.max() < 90
+    assert got.groupby("sequence_id").length.sum().max() <= 1024
+
+
 # --- 4
 
 PAGES = [
