@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them.
 
 One scan of the texts finds the base spans (fixed patterns and checks, always kept) and further candidates
-(credentials, account and identity numbers, and base-like matches that failed their check). Six labelers vote on
+(credentials, account and identity numbers, names of persons, postal addresses, and base-like matches that failed
+their check). Six labelers vote on
 each candidate: two by pattern, two by gazetteer, one by the words before it, one by shape; each says private, not
 private, or abstains. Only the table of vote patterns, at most 3^6 for each kind, reaches the driver, where EM
 estimates each labeler's reliability and the probability of every pattern. Those probabilities label a bounded
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tesselwork.sources.scratch import written
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "ssn", "iban", "secret")
+KINDS = (*BASE, "ssn", "iban", "secret", "name", "address")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -38,6 +39,13 @@ _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{12,}+")
 _DIGIT = re.compile(r"[0-9]")
+_CAPITALS = re.compile(r"(?<![\w.@-])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++(?:[ -][A-ZÀ-ÖØ-Þ](?:\.|[a-zß-öø-ÿ'’]++)){1,3}(?![\w@])")
+_ADDRESS = re.compile(
+    r"(?<![\w.])(?:[0-9]{1,5}[A-Za-z]?,? (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)\b"
+    r"|[A-ZÄÖÜ][a-zäöüß]+(?:stra(?:ß|ss)e|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?\b"
+    r"|[0-9]{1,4},? (?:bis |ter )?(?:rue|avenue|boulevard|place|chemin|impasse) (?:de |du |des |la |le |l['’])*[A-ZÀ-Þ][\w'’-]+"
+    r"|(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo) (?:de |del |la |las |los )*[A-ZÁ-Ú]\w+,? (?:n\.?º? ?)?[0-9]{1,4}\b)"
+)
 
 # Gazetteers.
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "SG.")
@@ -45,8 +53,23 @@ CARD_PREFIXES = ("34", "36", "37", "38", "4", "51", "52", "53", "54", "55", "601
 IBAN_COUNTRIES = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR UA".split())
 LOCAL_NETS = ("0.", "10.", "127.", "169.254.", "192.168.", "224.", "255.")
 PRIVATE_WORDS = frozenset(
-    "account api apikey auth bank bearer call card cell contact credential credentials credit email fax host iban key login mail mastercard mobile passcode passwd password phone pin pwd secret social ssn tel telephone token visa".split()
+    (
+        "account address api apikey auth bank bearer call card cell contact credential credentials credit email fax host iban key live lives login mail mastercard mobile name passcode passwd password phone pin pwd secret signed social ssn tel telephone token visa "
+        "adresse anschrift handy heißt karte kennwort konto passwort rufnummer telefon unterzeichnet wohnhaft wohnt "
+        "appelle carte compte courriel demeurant habite nom passe portable signé téléphone "
+        "clave contraseña correo cuenta dirección domicilio firmado llama móvil nombre tarjeta teléfono vive"
+    ).split()
+)
+TITLES = frozenset("mr mrs ms miss dr prof sir herr herrn frau monsieur madame mme mlle señor señora sr sra don doña".split())
+GIVEN_NAMES = frozenset(
+    (
+        "Alice Andrew Anna Anne Barbara Benjamin Charles Christopher Daniel David Elizabeth Emily Emma George Grace Henry Jack Jacob James Jane Jennifer Jessica John Joseph Joshua Karen Kevin Laura Linda Lisa Margaret Mark Mary Matthew Michael Nancy Oliver Olivia Patricia Paul Peter Rachel Rebecca Richard Robert Ruth Samuel Sarah Simon Sophia Steven Susan Thomas William "
+        "Andreas Anja Bernd Birgit Claudia Dieter Elke Franz Fritz Greta Günter Hans Heike Heinrich Helga Ingrid Jürgen Karl Katharina Klaus Lukas Manfred Monika Petra Sabine Stefan Uwe Ursula Werner Wolfgang "
+        "Amélie Antoine Brigitte Camille Céline Chloé Claire Étienne François Françoise Guillaume Hélène Isabelle Jacques Jean Julien Louis Lucie Marc Marie Mathieu Michel Monique Nathalie Nicolas Philippe Pierre Sébastien Sylvie Thierry "
+        "Alejandro Ana Antonio Carlos Carmen Diego Elena Fernando Francisco Isabel Javier Jorge José Juan Lucía Luis Manuel María Marta Miguel Pablo Pedro Pilar Rafael Rosa Sofía Teresa"
+    ).split()
 )
+NOT_NAMES = frozenset("Avenue Boulevard Chapter Church City College Company Court Day Drive Hall Hospital House Island Lane License Park Place Prize River Road Saint School Square Street University Way".split())
 PLAIN_WORDS = frozenset("chapter checksum commit doi figure isbn issn item line page part release revision section sha sku table ticket v ver version vol volume".split())
 
 
@@ -97,10 +120,28 @@ def _mod97(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """Runs of capitalised words that begin with a known given name, or that a title stands before."""
+    out = []
+    for m in _CAPITALS.finditer(text):
+        first = re.split("[ -]", m[0], maxsplit=1)[0]
+        if first in GIVEN_NAMES:
+            out.append((m.start(), m.end(), "name"))
+        elif first.lower() in TITLES and " " in m[0]:
+            out.append((m.start() + len(first) + 1, m.end(), "name"))
+        else:
+            before = text[max(0, m.start() - 12) : m.start()].rstrip(" .").rpartition(" ")[2].lower()
+            if before in TITLES:
+                out.append((m.start(), m.end(), "name"))
+    return out
+
+
 def _further(text: str) -> list[tuple[int, int, str]]:
+    out = _names(text)
     if not _DIGIT.search(text):
-        return []
-    out = [(m.start(), m.end(), "ssn") for m in _SSN.finditer(text)]
+        return out
+    out += [(m.start(), m.end(), "address") for m in _ADDRESS.finditer(text)]
+    out += [(m.start(), m.end(), "ssn") for m in _SSN.finditer(text)]
     out += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
     for m in _TOKEN.finditer(text):
         value = m[0].strip("=/+-")
@@ -121,7 +162,7 @@ def _entropy(value: str) -> float:
 def votes(text: str, start: int, end: int, kind: str, checked: bool) -> str:
     """Six characters of 1 (private), 0 (not) and - (abstains). checked: the span passed its base check."""
     value, before = text[start:end], text[max(0, start - 32) : start]
-    words = re.findall(r"[A-Za-z]+", before.lower())[-3:]
+    words = re.findall(r"[^\W\d_]+", before.lower())[-3:]
     digits = sum(c.isdigit() for c in value)
     strict = {
         "email": value.rpartition(".")[2].isalpha(),
@@ -131,20 +172,26 @@ def votes(text: str, start: int, end: int, kind: str, checked: bool) -> str:
         "ssn": value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[-4:] != "0000",
         "iban": 15 <= len(value.replace(" ", "")) <= 34,
         "secret": bool(re.fullmatch(r"(?:[0-9a-f]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|[A-Za-z0-9_+/-]{32,})", value)),
+        "name": len(value.split()) >= 2 and all(len(w) > 2 or w.endswith(".") for w in value.split()),
+        "address": True,
     }[kind]
     one = "1" if strict else ("-" if kind == "secret" else "0")
-    check = {"iban": lambda: _mod97(value.replace(" ", "")), "ssn": lambda: None, "secret": lambda: None}.get(kind, lambda: checked)()
+    check = _mod97(value.replace(" ", "")) if kind == "iban" else checked if kind in BASE else None
     two = "-" if check is None else "01"[check]
     known = {
         "card": value.startswith(CARD_PREFIXES), "iban": value[:2] in IBAN_COUNTRIES, "secret": value.startswith(KEY_PREFIXES),
+        "name": re.split("[ -]", value, maxsplit=1)[0] in GIVEN_NAMES,
     }.get(kind, False)
     sample = (kind == "ip" and value.startswith(LOCAL_NETS)) or len(set(re.sub(r"\W", "", value))) <= 2
     three = "1" if known else "-"
     parts = re.split(r"[-_/+]", value)
     slug = kind == "secret" and len(parts) > 2 and all(x.isalpha() or x.isdigit() or not x for x in parts)  # words joined by signs
-    four = "0" if sample or slug or any(w in PLAIN_WORDS for w in words) or before.endswith(("/", "#", "v")) else "-"
-    five = "1" if any(w in PRIVATE_WORDS for w in words) else "-"
+    place = kind == "name" and any(w in NOT_NAMES for w in value.split())
+    four = "0" if sample or slug or place or any(w in PLAIN_WORDS for w in words) or before.endswith(("/", "#", "v")) else "-"
+    five = "1" if any(w in PRIVATE_WORDS or (kind == "name" and w in TITLES) for w in words) else "-"
     six = "-"
+    if kind == "address":  # a number of five digits and a single word is as often a count
+        six = "1" if sum(w[:1].isupper() for w in value.split()) >= 2 or value[0].isalpha() else "-"
     if kind == "secret":
         turns = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:], strict=False))
         six = "1" if _entropy(value) >= 3 and digits >= 3 and turns >= 4 else "0"
@@ -274,12 +321,13 @@ def fit(scanned: DataFrame, most_rows: int = 20_000) -> Model:
 
 
 def decided(found: list[dict], model: Model, threshold: float) -> list[dict]:
-    """Base spans, and further ones that the classifier takes; of equal or nested further spans the first stays."""
+    """Base spans, and further ones that the classifier takes. Of further spans that are equal or lie within one taken
+    before, the first stays; those that overlap in part all stay."""
     out, done = [], -1
     for c in found:
         if c["base"]:
             out.append(c)
-        elif c["kind"] not in BASE and c["start"] >= done and model.probability(c["slots"]) >= threshold:
+        elif c["kind"] not in BASE and c["end"] > done and model.probability(c["slots"]) >= threshold:
             out.append(c)
             done = c["end"]
     return out
