@@ -8,6 +8,7 @@ so deeply nested pages need no deep recursion, and takes time in proportion to t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -67,7 +68,10 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW | RCDATA}
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
-MOST_PAD = 60  # a column is padded to its widest cell, at most to so many characters; cells are never cut
+#: A column is as wide as its widest line, at most so many characters. A longer line is never cut: what stands right of
+#: it in its row begins a line below, in its own column, so that columns are aligned in all rows of any table and no
+#: long cell pads all the others.
+MOST_WIDE = 60
 
 
 class Node:
@@ -324,7 +328,7 @@ def _number(text: str, default: int, most: int) -> int:
 
 
 class Table:
-    """Rows of cells with spans; laid out in columns as wide as their widest line, up to MOST_PAD."""
+    """Rows of cells with spans; laid out in columns as wide as their widest line, up to MOST_WIDE."""
 
     def __init__(self):
         self.rows: list[list[tuple[int, int, list[str]]]] = []
@@ -341,28 +345,38 @@ class Table:
                     at += 1
                 here[at] = (across, lines)
                 if across == 1:
-                    widths[at] = max(widths.get(at, 0), min(MOST_PAD, max(map(width, lines), default=0)))
+                    widths[at] = max(widths.get(at, 0), min(MOST_WIDE, max(map(width, lines), default=0)))
                 if down > 1:
                     after.update({at + k: down - 1 for k in range(across)})
                 at += across
             taken = after
             spots.append(here)
         columns = sorted({c for here in spots for c in here})
+        for here in spots:  # a cell over several columns widens the last of them where it needs to
+            for c, (across, lines) in here.items():
+                if across > 1:
+                    own = columns[bisect_left(columns, c) : bisect_left(columns, c + across)]
+                    short = min(MOST_WIDE, max(map(width, lines), default=0)) - sum(widths.get(k, 0) for k in own) - 2 * (len(own) - 1)
+                    widths[own[-1]] = widths.get(own[-1], 0) + max(0, short)
         starts, x = {}, 0
         for c in columns:
             starts[c] = x
             x += widths.get(c, 0) + 2
         out = list(self.caption)
         for here in spots:
-            for i in range(max((len(lines) for _, lines in here.values()), default=0)):
-                line, used = [], 0
-                for c in sorted(here):
-                    lines = here[c][1]
-                    if i < len(lines) and lines[i]:
-                        room = starts[c] - used
-                        line += [" " * max(room, 2 if used else 0), lines[i]]
-                        used += max(room, 2 if used else 0) + width(lines[i])
-                out.append("".join(line).rstrip())
+            made: list[tuple[list[str], int]] = []  # per line: its parts and their width
+            for c in sorted(here):
+                line = 0
+                for text in here[c][1]:
+                    while line < len(made) and made[line][1] and made[line][1] + 2 > starts[c]:  # a longer cell to the left fills this line
+                        line += 1
+                    if line == len(made):
+                        made.append(([], 0))
+                    if text:
+                        parts, used = made[line]
+                        made[line] = ([*parts, " " * (starts[c] - used), text], starts[c] + width(text))
+                    line += 1
+            out += ["".join(parts).rstrip() for parts, _ in made]
         return out
 
 
