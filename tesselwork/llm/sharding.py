@@ -72,13 +72,14 @@ def shuffle_shards(
     shards: int = 40,
     seed: int = 20_011,
     rows_per_block: int = 50_000,
-    max_blocks: int = 1024,
+    max_blocks: int = 8192,
     rows_per_slice: int = 200_000,
 ) -> DataFrame:
     """Return doc_id, size, text_crc32, shard and slot for every row.
 
     size: UTF-8 bytes of the text (none for null) plus 16. Rows with a null id or text, empty texts and repeated
-    rows are rows like any other; each repeat gets a slot of its own. An empty table gives no rows. Other columns
+    rows are rows like any other; each repeat gets a slot of its own. The law is uniform over rows: equal texts are
+    shuffled apart like any others, and no shard is theirs. An empty table gives no rows. Other columns
     of ``docs`` are not read, so their names cannot clash.
     """
     text = F.col(text_col)
