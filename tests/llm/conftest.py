@@ -1,4 +1,5 @@
 import pytest
+from odd_rows import ODD
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, shard int, size long, h string, found string, node long"
 
@@ -8,22 +9,6 @@ def clash(rows):
     return [(i, t, lang, src, len(t or ""), True, 7, 7, "x", "y", 1) for i, t, lang, src in rows]
 
 
-ODD = [
-    (1, None, "en", "a"),
-    (2, "", "en", "a"),
-    (3, "one", None, "a"),
-    (4, "the same words stand here twice over in full length for all to see", "en", None),
-    (5, "the same words stand here twice over in full length for all to see", "en", None),
-    (5, "the same words stand here twice over in full length for all to see", "en", None),
-    (None, "no id for this text of some plain words that nobody claims", "de", "b"),
-    (None, None, None, None),
-    (7, "wordlike " * 60_000, "en", "b"),
-    (8, " \t\n ", "en", "c"),
-    (9, "mail joe.doe@mail.example.com or +1 (555) 555-0100 from 10.0.0.1 now", "en", "c"),
-    (10, "Ünï çödé 日本語 text 😀 with odd signs", "fr", "ü"),
-]
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     return spark.createDataFrame(clash(ODD), DOCS)

@@ -1,7 +1,7 @@
 """Nulls, empty and long texts, ties, repeats, an empty table and clashing extra columns, for every operator."""
 
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 from tesselwork.llm import chat, html_text, media, pii, quality_model
 from tesselwork.llm.catalog import vocabulary
