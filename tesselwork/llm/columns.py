@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
@@ -34,3 +34,12 @@ def spread(count: int, key: Column) -> Column:
 def order(key: Column) -> Column:
     """A non-negative long in whose order spread() cuts its slices."""
     return F.shiftrightunsigned(key, 1)
+
+
+#: Rows of a few longs up to which a table goes to every executor whole: about 100 MB there.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, hinted for broadcast where it has at most BROADCAST_ROWS; else joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
