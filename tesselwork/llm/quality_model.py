@@ -4,6 +4,9 @@ Each heuristic labeller looks at one property of a text and says poor, fine, or
 patterns (at most 3^8, whatever the input) go to the driver, where EM estimates every labeller's accuracy and the
 probability that a text with a given pattern is good. These posteriors label a bounded sample of texts, and a
 linear scorer over hashed features is trained on it; the scorer alone decides on every text.
+
+Texts are read once: what a text shows (its votes, the outlines of its words, its measures) is written as a table of
+small rows, from which EM, the sample and the scores are taken.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,6 @@ from pyspark.sql import functions as F
 
 from tesselwork.sources.scratch import written
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = re.compile(r"[(\"'¿¡]?\w[\w'’.-]*+[.,;:?!)\"']?")
 LABELLERS = ("symbols", "bars", "shouting", "marks", "repeats", "variety", "plain", "prose")
 FAULT_ONLY = 4  # the first labellers, which see faults or nothing
@@ -30,27 +34,69 @@ SLOTS = 1 << 14
 TYPICAL = {"repeats": 0.0, "variety": 1.2, "top": 0.05, "sentences": 0.1}
 #: Measures that are features, by bins of 0.05.
 BINNED = ("symbols", "bars", "marks", "digits", "plain", "shouting", "repeats", "variety", "top", "sentences")
+MOST_BIN = 2.0  # measures are binned up to here
+
+_SIGNS, _MARKS = frozenset("#*$%&<>{}\\^~="), frozenset("!?")
+#: What one word shows: slot of its outline, signs, bars, marks, digits, whether it shouts, whether it is plain.
+_Word = tuple[int, int, int, int, int, bool, bool]
+_words: dict[bytes, _Word] = {}
+KNOWN_WORDS = 200_000  # words that a Python worker remembers; then it starts anew
+
+
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode()) % SLOTS
+
+
+def _shown(raw: bytes) -> _Word:
+    word = raw.decode()
+    core = word.strip("#*$%&<>{}|!?.,;:()\"'")
+    tail = word[len(core) :] if word.startswith(core) else word.replace(core, "", 1)
+    case = "N" if not core else "U" if core.isupper() and len(core) > 1 else "T" if core.istitle() else "l" if core.islower() else "m"
+    if len(_words) >= KNOWN_WORDS:
+        _words.clear()
+    out = _words[raw] = (
+        _slot(f"w{case}{min(len(core), 12) // 3}{tail[:3]}"), sum(c in _SIGNS for c in word), word.count("|"), sum(c in _MARKS for c in word), sum(map(str.isdigit, word)),
+        word.isupper() and sum(map(str.isalpha, word)) > 1, _PLAIN.fullmatch(word) is not None,
+    )
+    return out
 
 
-def measures(text: str) -> dict[str, float]:
-    """Properties of a whole text, each a share or a mean."""
-    words = _WORD.findall(text)
+def shown(text: str) -> tuple[dict[str, float], dict[int, int]]:
+    """Properties of a whole text, each a share or a mean, and how often each slot of a word's outline occurs.
+
+    Words are runs other than space and U+0009 to U+000D: what bytes.split makes. Each word is looked at once for
+    each time that a worker meets it anew.
+    """
+    words = text.encode().split()
     n, counted = max(1, len(words)), Counter(words)
-    count = text.count
-    pairs = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    outlines: dict[int, int] = {}
+    signs = bars = marks = digits = shouts = plain = 0
+    for word, times in counted.items():
+        slot, s, b, m, d, shout, is_plain = _words.get(word) or _shown(word)
+        outlines[slot] = outlines.get(slot, 0) + times
+        signs += s * times
+        bars += b * times
+        marks += m * times
+        digits += d * times
+        shouts += shout * times
+        plain += is_plain * times
     return {
-        "symbols": sum(count(c) for c in "#*$%&<>{}\\^~=") / n,
-        "bars": count("|") / n,
-        "shouting": sum(t for w, t in counted.items() if w.isupper() and sum(map(str.isalpha, w)) > 1) / n,
-        "marks": (count("!") + count("?")) / n,
-        "repeats": pairs / n,
-        "variety": len(counted) / n ** 0.85,
-        "top": counted.most_common(1)[0][1] / n if words else 0.0,
-        "sentences": (count(". ") + count(".\n") + text.endswith(".")) / n,
-        "plain": sum(t for w, t in counted.items() if _PLAIN.fullmatch(w)) / n,
-        "digits": sum(map(str.isdigit, text)) / max(1, len(text)),
+        "symbols": signs / n,
+        "bars": bars / n,
+        "shouting": shouts / n,
+        "marks": marks / n,
+        "repeats": sum(map(eq, words, islice(words, 1, None))) / n,
+        "variety": len(counted) / n**0.85,
+        "top": max(counted.values()) / n if words else 0.0,
+        "sentences": (text.count(". ") + text.count(".\n") + text.endswith(".")) / n,
+        "plain": plain / n,
+        "digits": digits / max(1, len(text)),
         "words": len(words),
-    }
+    }, outlines
+
+
+def measures(text: str) -> dict[str, float]:
+    return shown(text)[0]
 
 
 def vote(m: dict[str, float]) -> str:
@@ -69,32 +115,24 @@ def vote(m: dict[str, float]) -> str:
             fault(m["shouting"] > 0.4 and m["words"] > 2),
             fault(m["marks"] > 0.3 and m["words"] > 2),
             "-" if few else both(m["repeats"] > 0.3, m["repeats"] < 0.08),
-            "-" if few else both(m["variety"] < 0.5 or m["top"] > 0.4, m["variety"] > 0.8),
+            "-" if few else both(m["variety"] < 0.25 or m["top"] > 0.4, m["variety"] > 0.6),
             both(m["plain"] < 0.7, m["plain"] > 0.93),
             both(m["digits"] > 0.3, 0 < m["sentences"] < 0.4),
         )
     )
 
 
-def features(text: str, m: dict[str, float]) -> dict[int, float]:
+_BIN_SLOTS = {name: [_slot(f"m{name}{k}") for k in range(int(20 * MOST_BIN) + 1)] for name in BINNED}
+
+
+def features(m: dict[str, float], outlines: dict[int, int]) -> dict[int, float]:
     """Hashed features: outlines of words (their case, signs and length, not their letters) and binned measures."""
-    outlines = Counter()
-    words = _WORD.findall(text)
-    for word, times in Counter(words).items():
-        core = word.strip("#*$%&<>{}|!?.,;:()\"'")
-        tail = word[len(core) :] if word.startswith(core) else word.replace(core, "", 1)
-        case = "N" if not core else "U" if core.isupper() and len(core) > 1 else "T" if core.istitle() else "l" if core.islower() else "m"
-        outlines[f"w{case}{min(len(core), 12) // 3}{tail[:3]}"] += times
-    total = max(1, len(words))
-    out: dict[int, float] = {}
-    for name, times in outlines.items():
-        slot = zlib.crc32(name.encode()) % SLOTS
-        out[slot] = out.get(slot, 0.0) + math.sqrt(times / total)
+    total = max(1, m["words"])
+    out = {slot: math.sqrt(times / total) for slot, times in outlines.items()}
     if m["words"] < 8:
         m = m | TYPICAL
     for name in BINNED:
-        for k in range(int(20 * min(2.0, m[name])) + 1):
-            slot = zlib.crc32(f"m{name}{k}".encode()) % SLOTS
+        for slot in _BIN_SLOTS[name][: int(20 * min(MOST_BIN, m[name])) + 1]:
             out[slot] = out.get(slot, 0.0) + 0.5
     return out
 
@@ -145,37 +183,73 @@ def train(rows: list[tuple[dict[int, float], float]], epochs: int = 120, step: f
     return weights
 
 
-def score(text: str, weights: np.ndarray, m: dict[str, float] | None = None) -> float:
-    f = features(text, m or measures(text))
-    z = weights[SLOTS] + sum(weights[k] * v for k, v in f.items())
+def score(text: str | None, weights: np.ndarray) -> float:
+    """The scorer's probability that the text is good; 0 for a null or empty one."""
+    return probability(*shown(text), weights) if text else 0.0
+
+
+def probability(m: dict[str, float], outlines: dict[int, int], weights: np.ndarray) -> float:
+    z = weights[SLOTS] + sum(weights[k] * v for k, v in features(m, outlines).items())
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6_000) -> np.ndarray:
-    """Weights of the scorer. Accuracies use all texts; the scorer trains on at most ``most_rows`` of them: the first
-    by a hash of the text within each half of the posterior."""
+_SHOWN = "h long, votes string, measures array<double>, slots array<short>, times array<int>"
+_NAMES = (*BINNED, "words")
+
+
+def look(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return h (a hash of id and text), votes, measures and outlines of every row, and doc_id; the one reading of the
+    texts. A null or empty text has no measures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vote(measures(t or "")) for t in b.column(1).to_pylist()], pa.string())], ["h", "votes"])
+            seen = [shown(t or "") for t in b.column(1).to_pylist()]
+            empty = [not t for t in b.column(1).to_pylist()]
+            cols = [
+                pa.array([vote(m) for m, _ in seen], pa.string()),
+                pa.array([None if none else [m[k] for k in _NAMES] for (m, _), none in zip(seen, empty, strict=True)], pa.list_(pa.float64())),
+                pa.array([list(o) for _, o in seen], pa.list_(pa.int16())),
+                pa.array([list(o.values()) for _, o in seen], pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(2)], ["h", "votes", "measures", "slots", "times", "doc_id"])
+
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    return written(rows.mapInArrow(run, f"{_SHOWN}, doc_id long"), "quality-shown")
 
-    docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    voted = written(docs.mapInArrow(run, "h long, votes string"), "quality-votes")
-    _, p = estimate(dict(voted.groupBy("votes").count().collect()))  # at most 3^8 patterns
+
+def _of_row(measured: list | None, slots: list, times: list) -> tuple[dict[str, float], dict[int, int]]:
+    return dict(zip(_NAMES, measured, strict=True)), dict(zip(slots, times, strict=True))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6_000) -> np.ndarray:
+    """Weights of the scorer for these texts."""
+    return fit_seen(look(docs, id_col, text_col), most_rows)
+
+
+def fit_seen(seen: DataFrame, most_rows: int = 6_000) -> np.ndarray:
+    """Weights of the scorer from rows of ``look``. Accuracies use all rows; the scorer trains on at most ``most_rows``
+    of them: the first by a hash of the text within each half of the posterior."""
+    _, p = estimate(dict(seen.groupBy("votes").count().collect()))  # at most 3^8 patterns
     fine = [k for k, v in p.items() if v >= 0.5]
-    picked = [r.h for good in (True, False) for r in voted.where(F.col("votes").isin(fine) == good).select("h").distinct().orderBy("h").limit(most_rows // 2).collect()]
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(h,) for h in picked], "h long"))  # most_rows hashes
+    some = seen.where("measures IS NOT NULL")
+    rows = {}
+    for good in (True, False):
+        half = some.where(F.col("votes").isin(fine) == good)
+        picked = half.select("h").distinct().orderBy("h").limit(most_rows // 2)  # of repeated rows one
+        rows |= {r.h: r for r in half.join(F.broadcast(picked), "h").dropDuplicates(["h"]).collect()}
+    return train([(features(*_of_row(r.measures, r.slots, r.times)), p[r.votes]) for _, r in sorted(rows.items())])
+
+
+def _scored(seen: DataFrame, weights: np.ndarray) -> DataFrame:
+    """doc_id, h, score and votes of the rows of ``look``."""
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(m := measures(t or ""), features(t or "", m)) for t in b.column(1).to_pylist()]
-            cols = [pa.array([vote(m) for m, _ in made], pa.string()), pa.array([list(f) for _, f in made], pa.list_(pa.int32())), pa.array([list(f.values()) for _, f in made], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["h", "votes", "slots", "values"])
+            measured, slots, times = (b.column(i).to_pylist() for i in (2, 3, 4))
+            scores = [0.0 if m is None else probability(*_of_row(m, s, t), weights) for m, s, t in zip(measured, slots, times, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(5), b.column(0), pa.array(scores, pa.float64()), b.column(1)], ["doc_id", "h", "score", "votes"])
 
-    sample = docs.join(wanted, "h").dropDuplicates(["h"]).mapInArrow(featured, "h long, votes string, slots array<int>, values array<double>")
-    rows = sorted(sample.collect(), key=lambda r: r.h)
-    return train([(dict(zip(r["slots"], r["values"], strict=True)), p[r.votes]) for r in rows])
+    return seen.mapInArrow(run, "doc_id long, h long, score double, votes string")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -184,27 +258,20 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     A null or empty text is rejected with a score of 0. Rows with a null id and repeated rows are kept as rows and
     judged alike. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
-    weights = fit(docs, id_col, text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            seen = [measures(t or "") for t in texts]
-            scores = [score(t, weights, m) if t else 0.0 for t, m in zip(texts, seen, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(scores, pa.float64()), pa.array([vote(m) for m in seen], pa.string()), pa.array([s >= threshold for s in scores], pa.bool_())],
-                ["doc_id", "score", "votes", "kept"],
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, votes string, kept boolean")
+    seen = look(docs, id_col, text_col)
+    out = _scored(seen, fit_seen(seen))
+    return out.select("doc_id", "score", "votes", (F.col("score") >= threshold).alias("kept"))
 
 
 def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text the scorer takes."""
+    """The rows of ``docs``, all columns as they are, whose text the scorer takes.
+
+    Null and empty texts go. The texts are read once more here, so that they need no shuffle to meet their scores.
+    """
     weights, at = fit(docs, id_col, text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([bool(t) and score(t, weights) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([score(t, weights) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
