@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: quality, near-duplicates, personal data, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next one's docs. All but the last return the columns of ``documents``.
+next one's docs. All but the last return the columns of ``documents``, extra ones included, whatever their names.
+Null and empty texts go in the first stage (a later stage that meets one keeps it, but the mix, which counts words).
+Ties go by hashes of id and text. Rows without an id are documents like others, rows that repeat id and text are one
+from the second stage on. Empty tables stay empty tables.
 """
 
 from __future__ import annotations
@@ -11,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tesselwork.llm import pii, quality_model
 from tesselwork.llm.catalog import vocabulary
-from tesselwork.llm.mixing import mix_sources
-from tesselwork.llm.near_dup import near_duplicates
+from tesselwork.llm.mixing import repeated_rows
+from tesselwork.llm.near_dup import one_of_each
 from tesselwork.llm.packing import pack
 from tesselwork.sources.scratch import written
 from tesselwork.sources.tables import table
@@ -26,16 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity of 0.8 or more.
 
-    Of rows that repeat an id one stays. Rows without an id stay, since no id can stand for them.
+    Of rows that repeat id and text one stays; rows that share an id but not their text are different documents.
     """
-    found = written(near_duplicates(docs, width=5, percent=80), "pipeline-groups").where("doc_id IS NOT NULL")
-    rest = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return rest
-    again = written(again, "pipeline-repeats")
-    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    return one_of_each(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +41,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: words taken over its size, rounded."""
-    mixed = mix_sources(docs)
-    times = mixed.where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("mix_times"))
-    times = times.where("mix_times > 0").groupBy("mix_id").agg(F.max("mix_times").alias("mix_times"))
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return out.withColumn("mix_turn", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*[docs[c] for c in docs.columns])
+    """Every document as often as the mix takes it: words taken over its size, rounded. Texts without words go."""
+    return repeated_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
