@@ -42,6 +42,27 @@ def test_pipeline(spark, folder):
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
 
 
-def test_run_equals_its_stages(spark, folder):
+def test_stages_on_odd_rows(spark, odd, empty, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, folder)
+        rows = out.collect()
+        assert rows and stage(spark, empty, folder).collect() == [], name
+        if name != "packing":
+            assert out.columns == odd.columns, name
+    kept = [r.doc_id for r in corpus_pipeline.near_dup(spark, odd, folder).collect()]
+    assert kept.count(4) == 1 and 5 not in kept and kept.count(None) == 2 and 1 in kept and 2 in kept and 8 in kept
+    mixed = [r.doc_id for r in corpus_pipeline.source_mix(spark, odd, folder).collect()]
+    assert not {1, 2, 8} & set(mixed) and max(map(mixed.count, set(mixed))) <= 6  # 5 stands twice
+
+
+def test_run_is_its_stages_one_after_the_other(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+    rows = lambda d: sorted(map(tuple, d.select("doc_id", "start", "length", "ids_crc32").collect()))
+    assert rows(docs) == rows(corpus_pipeline.run(spark, folder))
+
+
+def test_run_again_gives_the_same(spark, folder):
     a, b = (sorted(map(tuple, corpus_pipeline.run(spark, folder).select("doc_id", "start", "length", "ids_crc32").collect())) for _ in range(2))
     assert a and hashlib.sha256(str(a).encode()).hexdigest() == hashlib.sha256(str(b).encode()).hexdigest()
