@@ -24,12 +24,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def upper_median(x: Column) -> Column:
-    """An aggregate: the middle value, the upper of two; no interpolation."""
-    kept = F.array_sort(F.collect_list(x))
-    return F.element_at(kept, (F.size(kept) / 2).cast("int") + 1)
-
-
 def mode_first(value: str, n: str, position: str) -> Column:
     """An aggregate over counted values: the most frequent, of equals the one seen first."""
     return F.max_by(F.col(value), F.struct(F.col(n), -F.col(position)))

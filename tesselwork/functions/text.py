@@ -18,7 +18,8 @@ def is_noise(text: Column) -> Column:
 
 
 def one_substitution(a: Column, b: Column) -> Column:
-    return (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 1)
+    """Words of three letters or more and of equal length that differ in one."""
+    return (F.length(a) == F.length(b)) & (F.length(a) >= 3) & (F.levenshtein(a, b) == 1)
 
 
 def feet(text: Column) -> Column:

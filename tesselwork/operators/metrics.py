@@ -31,3 +31,8 @@ def status_changes(old: DataFrame, new: DataFrame, key: str, status: str) -> Dat
     a, b = old.select(key, F.col(status).alias("was")), new.select(key, F.col(status).alias("now"))
     both = a.join(b, key, "full").fillna("absent", ["was", "now"])
     return both.groupBy("was", "now").agg(F.count(F.lit(1)).alias("n"))
+
+
+def every_pair(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of two short lists of names, the axes of a report; the report has as many rows."""
+    return left.join(F.broadcast(right), F.lit(True))  # names of one axis of a report

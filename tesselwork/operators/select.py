@@ -1,33 +1,35 @@
-"""Greedy selections: one-to-one matching, keep-first suppression, seeded grouping, retention."""
+"""Greedy selections: one-to-one matching, keep-first suppression, seeded grouping, retention.
+
+Rounds settle all choices that depend on no open one; each settles some, so they end without a limit.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselwork.sources.scratch import release, written
+from tesselwork.sources.scratch import compacted, release, written
 
 
-def greedy_match(pairs: DataFrame, a: str, b: str, score: str, most_rounds: int = 200) -> DataFrame:
+def greedy_match(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
     """The one-to-one matching that takes pairs by falling score, then falling a and b.
 
     A pair that is the best of both its ends is in that matching whatever else is, so each round takes all such pairs
-    at once and drops the pairs that share an end with them. Raises if ``most_rounds`` do not suffice.
+    at once and drops the pairs that share an end with them.
     """
-    left, taken = written(pairs.select(a, b, score), "match"), None
+    left = written(pairs.select(a, b, score), "match")
     rank = F.struct(F.col(score), F.col(a), F.col(b))
-    for _ in range(most_rounds):
+    taken, parts = left.limit(0), []
+    while not left.isEmpty():
         both = left.withColumn("top_a", F.max(rank).over(Window.partitionBy(a))).withColumn("top_b", F.max(rank).over(Window.partitionBy(b)))
         won = written(both.where((rank == F.col("top_a")) & (rank == F.col("top_b"))).select(a, b, score), "match-won")
-        taken = won if taken is None else taken.unionByName(won)
-        if won.isEmpty():
-            return taken
         old, left = left, written(left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti").select(a, b, score), "match")
+        taken, parts = compacted(taken.unionByName(won) if parts else won, [*parts, won], "match-taken")
         release(old)
-    raise RuntimeError(f"matching did not settle in {most_rounds} rounds")
+    return taken
 
 
-def keep_first(items: DataFrame, clashes: DataFrame, item: str, priority: str, most_rounds: int = 200) -> DataFrame:
+def keep_first(items: DataFrame, clashes: DataFrame, item: str, priority: str) -> DataFrame:
     """Greedy suppression: by falling priority (then rising id) an item stays unless it clashes with one that stayed.
 
     ``clashes`` has pairs a, b of items. Each round settles every open item whose better open neighbours are none:
@@ -38,17 +40,15 @@ def keep_first(items: DataFrame, clashes: DataFrame, item: str, priority: str, m
     both = clashes.unionByName(clashes.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     known = lambda side: ranked.select(F.col(item).alias(side), F.col("rank").alias(f"rank_{side}"))
     worse = written(both.join(known("a"), "a").join(known("b"), "b").where("rank_b < rank_a").select("a", "b"), "nms-pairs")
-    open_, stayed = ranked.select(item), None
-    for _ in range(most_rounds):
-        if open_.isEmpty():
-            return stayed if stayed is not None else open_
+    open_, stayed, parts = ranked.select(item), ranked.select(item).limit(0), []
+    while not open_.isEmpty():
         blocked = worse.join(open_.select(F.col(item).alias("b")), "b", "left_semi").select(F.col("a").alias(item)).distinct()
         won = written(open_.join(blocked, item, "left_anti"), "nms-won")
-        stayed = won if stayed is None else stayed.unionByName(won)
         gone = worse.join(won.select(F.col(item).alias("b")), "b", "left_semi").select(F.col("a").alias(item)).distinct()
         old, open_ = open_, written(open_.join(won, item, "left_anti").join(gone, item, "left_anti"), "nms-open")
+        stayed, parts = compacted(stayed.unionByName(won) if parts else won, [*parts, won], "nms-stayed")
         release(old)
-    raise RuntimeError(f"suppression did not settle in {most_rounds} rounds")
+    return stayed
 
 
 def newest(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:

@@ -23,12 +23,58 @@ def sweep_merge(rows: DataFrame, group: list[str], low: str, high: str, reach: f
 
 
 def weighted_quantile(rows: DataFrame, group: str, value: str, weight: Column, q: float) -> DataFrame:
-    """The first value at which the running weight reaches q of the whole."""
-    line = Window.partitionBy(group).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("so_far", F.sum(weight).over(line)).withColumn("whole", F.sum(weight).over(Window.partitionBy(group)))
+    """The first value at which the running weight reaches q of the whole; equal values are summed before they are ordered."""
+    summed = rows.groupBy(group, value).agg(F.sum(weight).alias("mass"))
+    line = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    summed = summed.withColumn("so_far", F.sum("mass").over(line)).withColumn("whole", F.sum("mass").over(Window.partitionBy(group)))
     return summed.where(F.col("so_far") >= F.lit(q) * F.col("whole")).groupBy(group).agg(F.min(value).alias("quantile"))
 
 
+def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """The middle value of each group, the upper of two, from counts of equal values; no interpolation."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).count()
+    line = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumns({"so_far": F.sum("count").over(line), "whole": F.sum("count").over(Window.partitionBy(group))})
+    return placed.where(F.col("so_far") > F.floor(F.col("whole") / 2)).groupBy(group).agg(F.min(value).alias("middle"))
+
+
+def numbered(rows: DataFrame, group: str, value: str, tie: str, step: float) -> DataFrame:
+    """Adds nth: the place of a row in its group by value, then tie, counted from 1.
+
+    Counted in two levels, slices of the value and rows of a slice, so that a group may be far larger than a task.
+    """
+    sliced = rows.withColumn("slice", F.floor(F.col(value) / F.lit(step)).cast("long"))
+    before = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sliced.groupBy(group, "slice").count().select(group, "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy(group, "slice").orderBy(value, tie))
+    return sliced.withColumn("place", within).join(starts, [group, "slice"]).withColumn("nth", F.col("start") + F.col("place")).drop("slice", "place", "start")
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float], slack: float = 0.001) -> DataFrame:
+    """Exact interpolated percentiles of each group, a column each.
+
+    A sketch gives two values that the wanted places lie between; what lies below is counted, and only the rows
+    between the two are ordered. A place that the sketch missed would come out null, which the sketch's error bound of
+    a ten-thousandth excludes.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
+    near = F.percentile_approx("v", [p for q in shares.values() for p in (max(0.0, q - slack), min(1.0, q + slack))], 10_000)
+    ends = rows.groupBy(group).agg(near.alias("near"), F.count(F.lit(1)).alias("n"))
+    out = ends.select(group)
+    both = rows.join(F.broadcast(ends), group)  # one row for each group: groups of this operator are few and large
+    for i, (name, q) in enumerate(shares.items()):
+        low, high = F.get("near", F.lit(2 * i)), F.get("near", F.lit(2 * i + 1))
+        at = F.lit(q) * (F.col("n") - 1)
+        below = both.groupBy(group).agg(F.sum((F.col("v") < low).cast("long")).alias("below"), F.min(F.when(F.col("v") > high, F.col("v"))).alias("after"))
+        inside = both.where(F.col("v").between(low, high)).groupBy(group, "v", "n").count().join(F.broadcast(below), group)
+        upto = F.sum("count").over(Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        placed = inside.withColumn("last", F.col("below") + upto - 1).withColumn("first", F.col("last") - F.col("count") + 1)
+        holds = lambda p: F.max(F.when(p.between(F.col("first"), F.col("last")), F.col("v")))
+        got = placed.groupBy(group, "n").agg(holds(F.floor(at)).alias("x"), F.coalesce(holds(F.ceil(at)), F.first("after")).alias("y"))  # the next place may be the next value
+        out = out.join(got.select(group, (F.col("x") + (F.col("y") - F.col("x")) * (at - F.floor(at))).alias(name)), group)
+    return out
+
+
 def consensus(rows: DataFrame, group: str, value: str, share: float, least: int) -> DataFrame:
     """The largest cluster of values within ``share`` of an anchor among them, and its median; smaller anchors win ties."""
     a = rows.select(F.col(group), F.col(value).alias("anchor"))
@@ -78,3 +124,12 @@ def first_plateau(rows: DataFrame, group: str, order: str, value: str, share: fl
     next1, next2 = F.lead(value, 1).over(line), F.lead(value, 2).over(line)
     flat = (F.abs(next1 - F.col(value)) < F.lit(share) * F.col(value)) & (F.abs(next2 - next1) < F.lit(share) * next1)
     return rows.select(group, F.when(flat, F.col(order)).alias("at")).groupBy(group).agg(F.min("at").alias("at")).where("at IS NOT NULL")
+
+
+def elementary(rows: DataFrame, group: list[str], low: str, high: str) -> DataFrame:
+    """Intervals cut at every end point of their group: pieces with the number of intervals over each, where any is."""
+    ends = rows.select(*group, F.explode(F.array(F.struct(F.col(low).alias("at"), F.lit(1).alias("step")), F.struct(F.col(high).alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    at = ends.groupBy(*group, F.col("e.at").alias(low)).agg(F.sum("e.step").alias("step"))
+    line = Window.partitionBy(*group).orderBy(low)
+    cut = at.select(*group, low, F.lead(low).over(line).alias(high), F.sum("step").over(line).alias("covers"))
+    return cut.where(F.col(high).isNotNull() & (F.col("covers") > 0))

@@ -41,10 +41,11 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, mo
     return out.where(rule) if rule is not None else out
 
 
-def nearest(points: DataFrame, hosts: DataFrame, point_id: str, host_id: str, on: Column, distance: Column, most: float) -> DataFrame:
-    """Each point's nearest host within ``most`` among those that ``on`` (an equality of aliases p and h) allows."""
-    met = points.alias("p").join(hosts.alias("h"), on).withColumn("distance", distance).where(F.col("distance") <= most)
-    best = met.groupBy(F.col(f"p.{point_id}").alias(point_id)).agg(F.min(F.struct("distance", F.col(f"h.{host_id}").alias(host_id))).alias("b"))
+def nearest_on_line(points: DataFrame, hosts: DataFrame, point_id: str, host_id: str, keys: list[str], value: str, most: float) -> DataFrame:
+    """Each point's nearest host with equal keys, by a value that both have, within ``most``; of equals the least id."""
+    met = band_join(points, hosts, keys, value, most)
+    rank = F.struct(F.abs(F.col(f"l.{value}") - F.col(f"r.{value}")).alias("distance"), F.col(f"r.{host_id}").alias(host_id))
+    best = met.groupBy(F.col(f"l.{point_id}").alias(point_id)).agg(F.min(rank).alias("b"))
     return best.select(point_id, f"b.{host_id}", "b.distance")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tesselwork.functions import geometry, numeric, text
 from tesselwork.operators import evidence, graph, metrics, select, sequence, spatial
+from tesselwork.sources.scratch import written
 from tesselwork.sources.tables import table
 
 QUERIES: dict = {}
@@ -72,6 +73,29 @@ def iou_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return met.where((common > 0) & (common * 5 >= union)).select(F.col("l.id").alias("pred"), F.col("r.id").alias("truth"), F.bround(common / union, 6).alias("iou"), F.col("l.l_suppkey").alias("supplier"))
 
 
+#: The pairs of iou_pairs in SQL, and greedy loops as recursions over ranked rows.
+IOU_PAIRS = (
+    INTERVALS + ", i AS (SELECT *, concat_ws(':', l_suppkey, l_linenumber, l_orderkey, low, high, l_linestatus) AS id FROM intervals), "
+    "q AS (SELECT p.id AS pred, t.id AS truth, p.l_suppkey AS supplier, p.l_linenumber AS line, least(p.high, t.high) - greatest(p.low, t.low) AS common, greatest(p.high, t.high) - least(p.low, t.low) AS whole "
+    "FROM i p JOIN i t ON p.l_suppkey = t.l_suppkey AND p.l_linenumber = t.l_linenumber AND p.l_linestatus = 'O' AND t.l_linestatus = 'F' AND p.low < t.high AND t.low < p.high), "
+    "pairs AS (SELECT pred, truth, supplier, line, round_even(common / whole, 6) AS iou FROM q WHERE common * 5 >= whole), "
+    "turns AS (SELECT *, row_number() OVER (PARTITION BY supplier, line ORDER BY iou DESC, pred DESC, truth DESC) AS nth FROM pairs), "
+    "greedy AS (SELECT supplier, line, 0::BIGINT AS nth, []::VARCHAR[] AS used, NULL::VARCHAR AS pred, NULL::VARCHAR AS truth, NULL::DOUBLE AS iou, false AS took FROM (SELECT DISTINCT supplier, line FROM pairs) "
+    "UNION ALL SELECT t.supplier, t.line, t.nth, CASE WHEN list_has_any(g.used, [t.pred, t.truth]) THEN g.used ELSE list_concat(g.used, [t.pred, t.truth]) END, t.pred, t.truth, t.iou, NOT list_has_any(g.used, [t.pred, t.truth]) "
+    "FROM greedy g JOIN turns t ON t.supplier = g.supplier AND t.line = g.line AND t.nth = g.nth + 1), matched AS (SELECT pred, truth, iou FROM greedy WHERE took)"
+)
+
+
+def seeds_sql(touching: str) -> str:
+    """Boxes by falling size, each kept unless it touches one that is: the list of those kept after each turn."""
+    return (
+        f"{touching}, near AS (SELECT node, list(other) AS others FROM (SELECT left_id AS node, right_id AS other FROM pairs UNION ALL SELECT right_id, left_id FROM pairs) GROUP BY node), "
+        "turns AS (SELECT id, coalesce(others, []) AS others, row_number() OVER (ORDER BY size DESC, id) AS nth FROM boxes LEFT JOIN near ON node = id), "
+        "walk AS (SELECT 0::BIGINT AS nth, NULL::BIGINT AS id, NULL::BIGINT AS seed, []::BIGINT[] AS seeds UNION ALL SELECT t.nth, t.id, coalesce(list_filter(w.seeds, lambda s: list_contains(t.others, s))[1], t.id), "
+        "CASE WHEN list_has_any(w.seeds, t.others) THEN w.seeds ELSE list_append(w.seeds, t.id) END FROM walk w JOIN turns t ON t.nth = w.nth + 1)"
+    )
+
+
 # --- joins
 
 
@@ -95,9 +119,9 @@ def band_join(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT p_partkey, arg_min(s_suppkey, d * 1000000 + s_suppkey) AS s_suppkey, min(d) AS distance FROM m WHERE d <= 5000 GROUP BY p_partkey"
 )
 def nearest_host(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "part").select("p_partkey", (F.col("p_size") % 10).alias("k"))
-    s = table(spark, folder, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).alias("k"))
-    return spatial.nearest(p, s, "p_partkey", "s_suppkey", F.col("p.k") == F.col("h.k"), F.abs(F.col("p_partkey") * 5 - F.col("s_suppkey") * 100), 5000)
+    p = table(spark, folder, "part").select("p_partkey", (F.col("p_size") % 10).alias("k"), (F.col("p_partkey") * 5).alias("at"))
+    s = table(spark, folder, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).alias("k"), (F.col("s_suppkey") * 100).alias("at"))
+    return spatial.nearest_on_line(p, s, "p_partkey", "s_suppkey", ["k"], "at", 5000)
 
 
 POINTS = "points AS (SELECT o_orderkey, (o_orderkey * 6151) % 9973 + o_orderkey // 15000 * 10000 AS px, (o_orderkey * 3571) % 1000 AS py FROM orders)"
@@ -131,13 +155,13 @@ def point_in_polygon(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"WITH {INTERVALS}, a AS (SELECT * FROM intervals WHERE l_linestatus = 'F' AND l_linenumber = 1), b AS (SELECT * FROM intervals WHERE l_linestatus = 'O' AND l_linenumber = 1) "
-    "SELECT l_suppkey, l_orderkey, low, high, l_linestatus FROM a UNION ALL SELECT l_suppkey, l_orderkey, low, high, l_linestatus FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.l_suppkey = b.l_suppkey AND a.low < b.high AND b.low < a.high)"
+    f"WITH {INTERVALS}, a AS (SELECT * FROM intervals WHERE l_linestatus = 'F'), b AS (SELECT * FROM intervals WHERE l_linestatus = 'O') SELECT l_suppkey, l_linenumber, l_orderkey, low, high, l_linestatus FROM a "
+    "UNION ALL SELECT l_suppkey, l_linenumber, l_orderkey, low, high, l_linestatus FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.l_suppkey = b.l_suppkey AND a.l_linenumber = b.l_linenumber AND a.low < b.high AND b.low < a.high)"
 )
 def document_text_wins(spark: SparkSession, folder: str) -> DataFrame:
-    rows = intervals(spark, folder).where("l_linenumber = 1").select("l_suppkey", "l_orderkey", "low", "high", "l_linestatus")
+    rows = intervals(spark, folder).select("l_suppkey", "l_linenumber", "l_orderkey", "low", "high", "l_linestatus")
     strict = (F.col("f.low") < F.col("s.high")) & (F.col("s.low") < F.col("f.high"))
-    return spatial.keep_apart(rows.where("l_linestatus = 'F'"), rows.where("l_linestatus = 'O'"), ["l_suppkey"], strict)
+    return spatial.keep_apart(rows.where("l_linestatus = 'F'"), rows.where("l_linestatus = 'O'"), ["l_suppkey", "l_linenumber"], strict)
 
 
 @query(
@@ -168,13 +192,17 @@ def context_semi_anti(spark: SparkSession, folder: str) -> DataFrame:
 # --- matching, suppression, graphs
 
 
-@query()
+@query(f"WITH RECURSIVE {IOU_PAIRS} SELECT pred, truth, iou FROM matched")
 def match_iou(spark: SparkSession, folder: str) -> DataFrame:
     """One-to-one matching by falling overlap; tests hold it against the plain greedy loop."""
     return select.greedy_match(iou_pairs(spark, folder), "pred", "truth", "iou")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {IOU_PAIRS}, n AS (SELECT l_suppkey AS supplier, sum((l_linestatus = 'O')::INTEGER)::BIGINT AS found, sum((l_linestatus = 'F')::INTEGER)::BIGINT AS truth FROM i GROUP BY l_suppkey), "
+    "h AS (SELECT split_part(pred, ':', 1)::BIGINT AS supplier, count(*) AS tp FROM matched GROUP BY 1), c AS (SELECT supplier, coalesce(tp, 0) AS tp, found - coalesce(tp, 0) AS fp, truth - coalesce(tp, 0) AS fn FROM n LEFT JOIN h USING (supplier)) "
+    "SELECT *, round_even(CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) END, 6) AS precision, round_even(CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) END, 6) AS recall FROM c"
+)
 def match_iou_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Precision and recall of the matching by supplier."""
     rows = intervals(spark, folder).select(F.col("l_suppkey").alias("supplier"), "l_linestatus", F.concat_ws(":", "l_suppkey", "l_linenumber", "l_orderkey", "low", "high", "l_linestatus").alias("id"))
@@ -186,7 +214,7 @@ def match_iou_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.precision_recall(seen.where("NOT (hit AND l_linestatus = 'O')"), truth, found, ["supplier"])
 
 
-@query()
+@query(f"WITH RECURSIVE {seeds_sql(TOUCHING)} SELECT id FROM walk WHERE seed = id")
 def nms_keep_first(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes by falling size that touch no box kept before; tests hold it against the plain greedy loop."""
     clashes = touching(spark, folder).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
@@ -254,13 +282,13 @@ def weighted_quantile(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.3), 4) AS p30, round(median(o_totalprice), 4) AS middle FROM orders GROUP BY o_orderpriority")
 def exact_percentile(spark: SparkSession, folder: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    return table(spark, folder, "orders").groupBy("o_orderpriority").agg(F.round(F.percentile(price, 0.3), 4).alias("p30"), F.round(F.median(price), 4).alias("middle"))
+    out = sequence.percentiles(table(spark, folder, "orders"), "o_orderpriority", "o_totalprice", {"p30": 0.3, "middle": 0.5})
+    return out.select("o_orderpriority", F.round("p30", 4).alias("p30"), F.round("middle", 4).alias("middle"))
 
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS middle FROM lineitem GROUP BY l_suppkey")
 def upper_median(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").groupBy("l_suppkey").agg(numeric.upper_median(F.col("l_quantity")).alias("middle"))
+    return sequence.upper_median(table(spark, folder, "lineitem"), "l_suppkey", "l_quantity")
 
 
 @query(
@@ -293,23 +321,30 @@ def mode_vote(spark: SparkSession, folder: str) -> DataFrame:
     return counted.groupBy("c_nationkey").agg(numeric.mode_first("c_mktsegment", "n", "pos").alias("segment"), F.max("n").alias("votes"))
 
 
-@query(
-    "WITH o AS (SELECT user_id AS place, event_type AS reading, day(ts) % 4 AS variant, (event_id * 7919) % 100 AS conf FROM events WHERE event_id % 3 = 0), v AS (SELECT place, reading, variant, max(conf) AS best FROM o GROUP BY ALL), "
-    "s AS (SELECT place, reading, count(*) AS support, sum(best) AS total, max(best) AS best, reading IN ('click', 'view') AS known FROM v GROUP BY place, reading), "
-    "t AS (SELECT *, round_even(total / 100 * CASE WHEN known THEN 1.25 ELSE 1.0 END, 6) AS score FROM s), "
-    "r AS (SELECT *, row_number() OVER w AS rank, first_value(reading) OVER w AS top, first_value(known) OVER w AS top_known FROM t WINDOW w AS (PARTITION BY place ORDER BY score DESC, support DESC, reading)), "
-    "f AS (SELECT *, NOT top_known AND known AND best >= 60 AND length(top) = length(reading) AND levenshtein(top, reading) = 1 AS fix FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY CASE WHEN fix THEN 0 ELSE 1 END, rank) AS pick FROM f) "
-    "SELECT place, reading, support, score, best, fix AS corrected, CASE WHEN best >= 60 THEN 'confident' WHEN support >= 2 AND total / support >= 40 THEN 'supported' WHEN known AND best >= 25 THEN 'known' ELSE 'rejected' END AS reason FROM p WHERE pick = 1"
-)
+def resolve_sql(passes: str = "0, 1, 2, 3") -> str:
+    """The rule of evidence.resolve on events: a pass is a day modulo four."""
+    return (
+        f"o AS (SELECT user_id AS place, event_type AS reading, day(ts) % 4 AS variant, (event_id * 7919) % 100 AS conf FROM events WHERE day(ts) % 4 IN ({passes})), v AS (SELECT place, reading, variant, max(conf) AS best FROM o GROUP BY ALL), "
+        "m AS (SELECT place, reading, avg(conf) AS mean FROM o GROUP BY place, reading), s AS (SELECT place, reading, count(*) AS support, sum(best) AS total, max(best) AS best, reading IN ('click', 'view') AS known FROM v GROUP BY place, reading), "
+        "t AS (SELECT *, round_even(total / 100 * CASE WHEN known THEN 1.25 ELSE 1.0 END, 6) AS score FROM s JOIN m USING (place, reading)), "
+        "r AS (SELECT *, row_number() OVER w AS rank, first_value(reading) OVER w AS top, first_value(known) OVER w AS top_known FROM t WINDOW w AS (PARTITION BY place ORDER BY score DESC, support DESC, reading)), "
+        "f AS (SELECT *, NOT top_known AND known AND best >= 60 AND length(top) >= 3 AND length(top) = length(reading) AND levenshtein(top, reading) = 1 AS fix FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY CASE WHEN fix THEN 0 ELSE 1 END, rank) AS pick FROM f), "
+        "others AS (SELECT place, string_agg(reading || ':' || support, ',' ORDER BY pick) AS rivals FROM p WHERE pick BETWEEN 2 AND 6 GROUP BY place), "
+        "resolved AS (SELECT place, reading, support, score, best, round_even(mean, 6) AS mean, fix AS corrected, CASE WHEN best >= 60 THEN 'confident' WHEN support >= 2 AND mean >= 40 THEN 'supported' WHEN known AND best >= 25 THEN 'known' ELSE 'rejected' END AS reason, "
+        "coalesce(rivals, '') AS rivals FROM p LEFT JOIN others USING (place) WHERE pick = 1)"
+    )
+
+
+@query(f"WITH {resolve_sql()} SELECT * FROM resolved")
 def evidence_resolve(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").where("event_id % 3 = 0")
+    e = table(spark, folder, "events")
     seen = e.select(F.col("user_id").alias("place"), F.col("event_type").alias("reading"), (F.dayofmonth("ts") % 4).alias("variant"), ((F.col("event_id") * 7919) % 100).alias("conf"))
     return evidence.resolve(seen, "place", "reading", "variant", "conf", ["click", "view"])
 
 
 @query(
     "WITH l AS (SELECT l_orderkey, l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_quantity DESC) AS nth FROM lineitem) "
-    "SELECT l_orderkey, round_even(sum(l_quantity * CASE WHEN nth = 1 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END), 4) AS support, count(DISTINCT l_returnflag) AS kinds FROM l GROUP BY l_orderkey"
+    "SELECT l_orderkey, round_even(sum(l_quantity * CASE WHEN nth = 1 THEN 1.0::DOUBLE WHEN nth <= 3 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END), 4) AS support, count(DISTINCT l_returnflag) AS kinds FROM l GROUP BY l_orderkey"
 )
 def support_diminishing(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.diminishing(table(spark, folder, "lineitem"), "l_orderkey", "l_quantity", "l_returnflag")
@@ -448,9 +483,13 @@ def html_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _runs_of_five(rows: DataFrame, key: str) -> DataFrame:
+    """Runs of five words as they stand; a text that repeats one has it as often."""
     words = F.array_remove(F.split(F.translate(F.lower("text"), "\n", " "), " "), "")
     five = rows.select(key, words.alias("w")).where("size(w) >= 5")
-    return five.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.concat_ws(" ", F.slice("w", i + 1, 5))))).alias("run"))
+    return five.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.concat_ws(" ", F.slice("w", i + 1, 5)))).alias("run"))
+
+
+MOST_RUNS = 500_000  # of the benchmark: up to here they go to every executor, about 50 MB
 
 
 def _runs_of_five_sql(name: str, key: str) -> str:
@@ -466,9 +505,11 @@ def _runs_of_five_sql(name: str, key: str) -> str:
 )
 def benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold half or more of a benchmark text's five-word runs."""
-    items = _runs_of_five(table(spark, folder, "benchmark"), "item_id")
+    items = written(_runs_of_five(table(spark, folder, "benchmark"), "item_id").distinct(), "benchmark-runs")
     runs_of = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("runs"))
-    shared = _runs_of_five(table(spark, folder, "documents"), "doc_id").join(items, "run").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    sought = F.broadcast(items) if items.count() <= MOST_RUNS else items  # no run that is in no item is shuffled
+    met = _runs_of_five(table(spark, folder, "documents"), "doc_id").join(sought, "run")
+    shared = met.groupBy("doc_id", "item_id").agg(F.countDistinct("run").alias("shared"))
     return shared.join(runs_of, "item_id").where("2 * shared >= runs").select("doc_id", "item_id", "shared", "runs")
 
 
@@ -520,11 +561,11 @@ def rollup_overall(spark: SparkSession, folder: str) -> DataFrame:
 def profile_zero_filled(spark: SparkSession, folder: str) -> DataFrame:
     """Mean events of a user by type and day, days without any counting as zero."""
     e = table(spark, folder, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "user_id")
-    grid = e.groupBy("day").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).count().na.fill(0)
+    counted = e.groupBy("day", "event_type").count()
+    grid = metrics.every_pair(e.select("day").distinct(), e.select("event_type").distinct())
     users = e.agg(F.countDistinct("user_id").alias("users"))  # one row
-    kinds = F.array(*[F.struct(F.lit(k).alias("event_type"), F.col(k).alias("n")) for k in ("click", "error", "purchase", "signup", "view")])
-    long = grid.select("day", F.explode(kinds).alias("e")).select("day", "e.event_type", "e.n").join(F.broadcast(users), F.lit(True))
-    return long.select("day", "event_type", "n", F.round(F.col("n") / F.col("users"), 6).alias("per_user"))
+    filled = grid.join(counted, ["day", "event_type"], "left").select("day", "event_type", F.coalesce("count", F.lit(0)).alias("n")).join(F.broadcast(users), F.lit(True))
+    return filled.select("day", "event_type", "n", F.round(F.col("n") / F.col("users"), 6).alias("per_user"))
 
 
 @query(

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tesselwork.functions.text import compact_feet
 from tesselwork.operators import evidence, graph, select, sequence
-from tesselwork.plans.catalog import TOUCHING, boxes, query, touching
+from tesselwork.plans.catalog import TOUCHING, boxes, query, resolve_sql, seeds_sql, touching
 from tesselwork.sources.tables import table
 
 
-@query()
+@query(f"WITH RECURSIVE {seeds_sql(TOUCHING)} SELECT id, seed FROM walk WHERE id IS NOT NULL")
 def seeded_grouping(spark: SparkSession, folder: str) -> DataFrame:
     """Boxes grouped around the largest that they touch first; tests hold it against the plain loop."""
     matches = touching(spark, folder).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
@@ -127,7 +127,10 @@ def dimension_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return near.where("kind = 'x' AND pk = 'n' AND nk = 'n' AND x - px <= 900 AND nx - x <= 900").select("line", F.col("px").alias("first_x"), F.col("nx").alias("second_x"))
 
 
-@query()
+_SUBSETS = ("0", "0, 1", "0, 1, 2, 3")
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {resolve_sql(p)} SELECT {p.count(',') + 1} AS passes, count(*) AS places, sum((reason <> 'rejected')::INTEGER)::BIGINT AS accepted FROM resolved)" for p in _SUBSETS))
 def subset_of_passes(spark: SparkSession, folder: str) -> DataFrame:
     """How many places still resolve to a known reading when only some passes are read."""
     e = table(spark, folder, "events").select(F.col("user_id").alias("place"), F.col("event_type").alias("reading"), (F.dayofmonth("ts") % 4).alias("variant"), ((F.col("event_id") * 7919) % 100).alias("conf"))

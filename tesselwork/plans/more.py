@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselwork.functions import geometry
 from tesselwork.functions.numeric import ratio
-from tesselwork.operators import graph, regions, spatial
+from tesselwork.operators import graph, regions, sequence, spatial
 from tesselwork.plans.catalog import INTERVALS, RUNS, TOUCHING, intervals, query, runs, touching
 from tesselwork.sources import files, plans
 from tesselwork.sources.tables import table
@@ -93,7 +93,7 @@ def generated_adjacency(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"WITH RECURSIVE {TOUCHING}, e AS (SELECT left_id AS a, right_id AS b FROM pairs UNION SELECT right_id, left_id FROM pairs), s AS (SELECT DISTINCT a AS node FROM e WHERE a % 10 = 0), "
-    "r AS (SELECT node, 0 AS d FROM s UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.node WHERE r.d < 40) SELECT node, min(d)::INTEGER AS distance FROM r GROUP BY node"
+    "r AS (SELECT node, 0 AS d FROM s UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.node WHERE r.d < (SELECT count(DISTINCT a) FROM e)) SELECT node, min(d)::INTEGER AS distance FROM r GROUP BY node"
 )
 def reachable(spark: SparkSession, folder: str) -> DataFrame:
     e = touching(spark, folder).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
@@ -101,13 +101,23 @@ def reachable(spark: SparkSession, folder: str) -> DataFrame:
     return graph.reachable(e, start)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {TOUCHING}, r AS (SELECT left_id AS a, right_id AS b, 0 AS turn FROM pairs UNION ALL SELECT a, b, turn + 1 FROM (SELECT r.a, r.b, r.turn, (SELECT list(n) FROM (SELECT n FROM (SELECT a AS n FROM r UNION ALL SELECT b FROM r) GROUP BY n HAVING count(*) = 1)) AS loose FROM r) "
+    "WHERE len(loose) > 0 AND NOT list_contains(loose, a) AND NOT list_contains(loose, b)), z AS (SELECT a, b FROM r WHERE turn = (SELECT max(turn) FROM r)), n AS (SELECT n FROM (SELECT a AS n FROM z UNION ALL SELECT b FROM z) GROUP BY n HAVING count(*) = 1) "
+    "SELECT a, b FROM z WHERE NOT EXISTS (SELECT 1 FROM n)"
+)
 def prune_unsupported(spark: SparkSession, folder: str) -> DataFrame:
     e = touching(spark, folder).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
     return graph.prune_ends(e)
 
 
-@query()
+@query(
+    "WITH RECURSIVE w AS (SELECT p_partkey AS k, p_partkey % 10 AS c, p_partkey // 10 AS r FROM part), e AS (SELECT DISTINCT ax, ay, bx, by_ FROM (SELECT k, c AS ax, r AS ay, c + 1 AS bx, r AS by_ FROM w UNION ALL SELECT k, c, r, c, r + 1 FROM w) WHERE (k * 7 + bx) % 5 > 0), "
+    "h AS (SELECT ax, ay, bx, by_ FROM e UNION SELECT bx, by_, ax, ay FROM e), s AS (SELECT *, concat_ws(',', ax, ay, bx, by_) AS id, concat_ws(',', bx, by_, ax, ay) AS back, atan2(by_ - ay, bx - ax) AS angle FROM h), "
+    "t AS (SELECT back AS id, coalesce(lag(id) OVER (PARTITION BY ax, ay ORDER BY angle), last_value(id) OVER (PARTITION BY ax, ay ORDER BY angle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS after FROM s), "
+    "walk AS (SELECT id AS origin, id AS spot, after FROM t UNION ALL SELECT walk.origin, t.id, t.after FROM walk JOIN t ON t.id = walk.after WHERE walk.after <> walk.origin), f AS (SELECT origin, min(spot) AS face FROM walk GROUP BY origin) "
+    "SELECT face, count(*) AS sides, sum((ax * by_ - bx * ay) / 2.0::DOUBLE) AS area FROM f JOIN s ON s.id = f.origin GROUP BY face"
+)
 def planar_faces(spark: SparkSession, folder: str) -> DataFrame:
     """Faces of a brick-like drawing laid out by part keys: ten columns of cells, some walls left out."""
     k = F.col("p_partkey")
@@ -211,26 +221,25 @@ def robust_cluster(spark: SparkSession, folder: str) -> DataFrame:
 def estimate_skew(spark: SparkSession, folder: str) -> DataFrame:
     """Weighted median of directions folded to a right angle; none from fewer than four lines."""
     a = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.pmod(F.col("l_partkey") * 7 + 45, F.lit(90)) - 45).alias("angle"), F.col("l_quantity").cast("long").alias("w"))
-    line, whole = Window.partitionBy("flag").orderBy("angle").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("flag")
-    s = a.select("flag", "angle", F.sum("w").over(line).alias("so_far"), F.sum("w").over(whole).alias("whole"), F.count(F.lit(1)).over(whole).alias("n"))
+    a = a.groupBy("flag", "angle").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("lines"))  # ninety angles of a flag at most
+    line, whole = Window.partitionBy("flag").orderBy("angle").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("flag")
+    s = a.select("flag", "angle", F.sum("w").over(line).alias("so_far"), F.sum("w").over(whole).alias("whole"), F.sum("lines").over(whole).alias("n"))
     reached = F.min(F.when(2 * F.col("so_far") >= F.col("whole"), F.col("angle")))
     return s.groupBy("flag").agg(F.when(F.first("n") < 4, F.lit(0)).otherwise(reached).alias("skew"))
 
 
 @query(
     "WITH v AS (SELECT user_id, day(ts) % 3 AS rotation, event_type AS variant, count(*) AS n, sum(greatest(value - 2, 0)) AS over FROM events GROUP BY ALL), s AS (SELECT *, round(over + 12 * sqrt(n), 4) AS score FROM v) "
-    "SELECT user_id, arg_max(variant || ':' || rotation, score * 10000 + 0.001 / (1 + rotation)) AS variant, max(score) AS score FROM s GROUP BY user_id HAVING count(*) FILTER (score = (SELECT max(score) FROM s z WHERE z.user_id = s.user_id)) = 1"
+    "SELECT user_id, variant || ':' || rotation AS variant, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, variant, rotation) AS nth FROM s) WHERE nth = 1"
 )
 def configuration_score(spark: SparkSession, folder: str) -> DataFrame:
-    """The pass of each place with the best score: excess confidence plus twelve times the root of its readings.
-
-    Places whose best score is a tie are left out, as no pass is the best there.
-    """
+    """The pass of each place with the best score: excess confidence plus twelve times the root of its readings; of
+    equal ones the first by name and rotation."""
     e = table(spark, folder, "events")
     v = e.groupBy("user_id", (F.dayofmonth("ts") % 3).alias("rotation"), F.col("event_type").alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.col("value") - 2, F.lit(0.0))).alias("over"))
-    s = v.withColumn("score", F.round(F.col("over") + 12 * F.sqrt("n"), 4)).withColumn("most", F.max("score").over(Window.partitionBy("user_id")))
-    top = s.where("score = most").withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("user_id"))).where("ties = 1")
-    return top.select("user_id", F.concat_ws(":", "variant", "rotation").alias("variant"), "score")
+    s = v.withColumn("score", F.round(F.col("over") + 12 * F.sqrt("n"), 4))
+    best = s.groupBy("user_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "variant", "rotation")).alias("b"))
+    return best.select("user_id", F.concat_ws(":", "b.variant", "b.rotation").alias("variant"), (-F.col("b.less")).alias("score"))
 
 
 @query(
@@ -320,8 +329,8 @@ def cache_misses(spark: SparkSession, folder: str) -> DataFrame:
 )
 def sequence_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Names by kind and place: W00001, W00002 and so on."""
-    nth = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey"))
-    return table(spark, folder, "orders").select("o_orderpriority", "o_orderkey", F.format_string("%s%05d", F.substring("o_orderpriority", 1, 1), nth).alias("sequence_id"))
+    placed = sequence.numbered(table(spark, folder, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey", 10.0)
+    return placed.select("o_orderpriority", "o_orderkey", F.format_string("%s%05d", F.substring("o_orderpriority", 1, 1), F.col("nth")).alias("sequence_id"))
 
 
 @query(
@@ -388,17 +397,13 @@ def box_to_page(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"WITH {INTERVALS}, d AS (SELECT DISTINCT l_suppkey, low, high FROM intervals WHERE l_linenumber = 2), e AS (SELECT DISTINCT l_suppkey, pt FROM (SELECT l_suppkey, unnest([low, high]) AS pt FROM d)), g AS (SELECT l_suppkey, pt AS low, lead(pt) OVER (PARTITION BY l_suppkey ORDER BY pt) AS high FROM e) "
-    "SELECT g.l_suppkey, g.low, g.high, count(*) AS covers FROM g JOIN d ON d.l_suppkey = g.l_suppkey AND d.low <= g.low AND d.high >= g.high WHERE g.high IS NOT NULL GROUP BY ALL"
+    f"WITH {INTERVALS}, d AS (SELECT DISTINCT l_suppkey, l_linenumber, low, high FROM intervals), e AS (SELECT DISTINCT l_suppkey, l_linenumber, pt FROM (SELECT l_suppkey, l_linenumber, unnest([low, high]) AS pt FROM d)), g AS (SELECT l_suppkey, l_linenumber, pt AS low, lead(pt) OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY pt) AS high FROM e) "
+    "SELECT g.l_suppkey, g.l_linenumber, g.low, g.high, count(*) AS covers FROM g JOIN d ON d.l_suppkey = g.l_suppkey AND d.l_linenumber = g.l_linenumber AND d.low <= g.low AND d.high >= g.high WHERE g.high IS NOT NULL GROUP BY ALL"
 )
 def elementary_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """Lines cut at every end point; each piece with the number of intervals over it, as a running sum of ends."""
-    d = intervals(spark, folder).where("l_linenumber = 2").select("l_suppkey", "low", "high").distinct()
-    ends = d.select("l_suppkey", F.explode(F.array(F.struct(F.col("low").alias("at"), F.lit(1).alias("step")), F.struct(F.col("high").alias("at"), F.lit(-1).alias("step")))).alias("e"))
-    at = ends.groupBy("l_suppkey", F.col("e.at").alias("low")).agg(F.sum("e.step").alias("step"))
-    line = Window.partitionBy("l_suppkey").orderBy("low")
-    cut = at.select("l_suppkey", "low", F.lead("low").over(line).alias("high"), F.sum("step").over(line).alias("covers"))
-    return cut.where("high IS NOT NULL AND covers > 0")
+    d = intervals(spark, folder).select("l_suppkey", "l_linenumber", "low", "high").distinct()
+    return sequence.elementary(d, ["l_suppkey", "l_linenumber"], "low", "high")
 
 
 @query(
@@ -412,7 +417,7 @@ def richest_pens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "WITH p AS (SELECT p_partkey, (p_partkey * 37) % 997 AS x, (p_partkey * 91) % 211 AS y FROM part WHERE p_partkey < 5000000), h AS (SELECT s_suppkey, (s_suppkey * 53) % 997 AS sx, (s_suppkey * 17) % 211 AS sy FROM supplier) "
+    "WITH p AS (SELECT p_partkey, (p_partkey * 37) % 997 AS x, (p_partkey * 91) % 211 AS y FROM part), h AS (SELECT s_suppkey, (s_suppkey * 53) % 997 AS sx, (s_suppkey * 17) % 211 AS sy FROM supplier) "
     "SELECT p_partkey, s_suppkey FROM p JOIN h ON abs(x - sx) <= 12 AND abs(y - sy) <= 12 AND (x - sx) ** 2 + (y - sy) ** 2 <= 144"
 )
 def distance_band(spark: SparkSession, folder: str) -> DataFrame:

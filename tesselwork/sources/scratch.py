@@ -1,13 +1,15 @@
 """Tables that cut lineage: written once to the folder that driver and executors share, then read back.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where a session names none (unit
-tests, a laptop) a folder of its own is made. A written table survives the loss of any executor, is scanned
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where a session on a local master names none
+(unit tests, a laptop) a folder of its own is made; a cluster without one is an error, not a folder that only the
+driver sees. A written table survives the loss of any executor, is scanned
 with column pruning, and gives later plans exact sizes, so adaptive joins need no hints.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder of this session; a new temporary one only where the session names none."""
     root = spark.conf.get(_KEY, None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tesselwork-")
         spark.conf.set(_KEY, root)
     return root.rstrip("/")
@@ -47,6 +51,16 @@ def release(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def compacted(whole: DataFrame, parts: list[DataFrame], tag: str, most: int = 8) -> tuple[DataFrame, list[DataFrame]]:
+    """A union that grows by a written table a round: after ``most`` parts it is written as one, and the parts go, so
+    that neither a plan nor the number of files grows with the rounds."""
+    if len(parts) < most:
+        return whole, parts
+    out = written(whole, tag)
+    release(*parts)
+    return out, [out]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

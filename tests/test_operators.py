@@ -121,3 +121,46 @@ def test_subsets_find_more_with_more_passes(spark):
 
     rows = sorted(extra.subset_of_passes(spark, FOLDER).collect())
     assert [r.passes for r in rows] == [1, 2, 4] and rows[0].accepted <= rows[-1].accepted
+
+
+def test_support_counts_the_next_two_of_a_kind_only(spark):
+    rows = spark.createDataFrame([(1, w, "sink") for w in (0.5, 0.4, 0.3, 0.2)] + [(1, 1.0, "range"), (2, 0.2, "chair")], "g int, w double, kind string")
+    got = {r.g: (r.support, r.kinds) for r in evidence.diminishing(rows, "g", "w", "kind").collect()}
+    assert got == {1: (0.5 + 0.3 * (0.4 + 0.3) + 1.0, 2), 2: (0.2, 1)}
+
+
+def test_support_needs_the_mean_of_all_observations(spark):
+    """Two passes whose best reads reach forty are not enough where their other reads pull the mean below."""
+    rows = [(1, "XQZ", 0, 45.0), (1, "XQZ", 1, 45.0), (2, "XQZ", 0, 45.0), (2, "XQZ", 0, 5.0), (2, "XQZ", 0, 5.0), (2, "XQZ", 1, 45.0), (3, "AX", 0, 50.0), (3, "AB", 1, 70.0), (3, "AB", 2, 1.0)]
+    frame = spark.createDataFrame([*rows, (3, "AX", 3, 50.0)], "place int, reading string, variant int, conf double")
+    got = {r.place: r for r in evidence.resolve(frame, "place", "reading", "variant", "conf", ["AB"]).collect()}
+    assert got[1].reason == "supported" and got[2].reason == "rejected" and got[2].mean == 25.0
+    assert (got[3].reading, got[3].corrected, got[3].rivals) == ("AX", False, "AB:2")  # words of two letters are not corrected
+
+
+def test_chains_longer_than_any_number_of_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(24)], "a long, b long")
+    got = {r.node: r.distance for r in graph.reachable(edges, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {i: i for i in range(25)}
+    assert graph.prune_ends(edges).collect() == []
+    labels = {r.node: (r.distance, r.label) for r in graph.nearest_source(edges, spark.createDataFrame([(0, 7), (24, 8)], "node long, label long")).collect()}
+    assert labels[11] == (11, 7) and labels[12] == (12, 7) and labels[13] == (11, 8)
+    items = spark.createDataFrame([(i, 0) for i in range(25)], "id long, p long")
+    assert sorted(r.id for r in select.keep_first(items, edges, "id", "p").collect()) == list(range(0, 25, 2))
+    pairs = spark.createDataFrame([(i, i + k, float(2 * i + k)) for i in range(14) for k in (0, 1)], "a long, b long, s double")
+    assert sorted((r.a, r.b) for r in select.greedy_match(pairs, "a", "b", "s").collect()) == [(i, i + 1) for i in range(14)]
+
+
+def test_percentiles_and_places_in_two_levels(spark):
+    import numpy as np
+
+    draw = random.Random(2)
+    rows = [(g, float(draw.choice([1, 5, 5, draw.randint(0, 400), draw.random() * 1000])), i) for i, g in enumerate(draw.choices("abc", k=3000))] + [("d", 3.0, 3000), ("d", 4.0, 3001)]
+    frame = spark.createDataFrame([*rows, ("a", None, 5000)], "g string, v double, i long")
+    got = {r.g: (r.low, r.mid) for r in sequence.percentiles(frame, "g", "v", {"low": 0.03, "mid": 0.5}).collect()}
+    for g in "abcd":
+        values = [v for k, v, _ in rows if k == g]
+        assert np.allclose(got[g], [np.quantile(values, 0.03), np.quantile(values, 0.5)])
+    nth = {r.i: r.nth for r in sequence.numbered(frame.where("v IS NOT NULL"), "g", "v", "i", 50.0).collect()}
+    for g in "abcd":
+        assert [nth[i] for _, i in sorted((v, i) for k, v, i in rows if k == g)] == list(range(1, 1 + sum(k == g for k, _, _ in rows)))
