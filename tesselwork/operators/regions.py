@@ -54,3 +54,34 @@ def borders(runs: DataFrame, keys: list[str]) -> DataFrame:
     down = touching_runs(runs.withColumn("id", F.lit(0)), keys).where("label <> above_label")
     down = down.select(*keys, F.least("label", "above_label").alias("a"), F.greatest("label", "above_label").alias("b"), (F.least("x1", "u1") - F.greatest("x0", "u0")).cast("long").alias("n"))
     return side.unionByName(down).groupBy(*keys, "a", "b").agg(F.sum("n").alias("length"))
+
+
+def structure_report(common: DataFrame, found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Per plan: rooms, spaces, rooms detected (IoU .7), mean best IoU, rooms split (two spaces with a fifth of it each),
+    spaces that merge two rooms (.3 of each), and false spaces, of which rooms cover under half. ``common`` is what
+    overlaps() returns for these regions."""
+    size = lambda d, n: d.groupBy(*keys, F.col("label").alias(n)).agg(F.sum(F.col("x1") - F.col("x0")).alias(f"{n}_area"))
+    iou = F.col("common") / (F.col("found_area") + F.col("truth_area") - F.col("common"))
+    per_room = common.withColumn("iou", iou).groupBy(*keys, "truth").agg(F.max("iou").alias("best"), F.sum((F.col("common") >= 0.2 * F.col("truth_area")).cast("int")).alias("parts"))
+    rooms = size(truth, "truth").join(per_room, [*keys, "truth"], "left").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rooms"), F.sum((F.coalesce("best", F.lit(0.0)) >= 0.7).cast("long")).alias("detected"), F.bround(F.avg(F.coalesce("best", F.lit(0.0))), 6).alias("mean_iou"),
+        F.sum((F.coalesce("parts", F.lit(0)) >= 2).cast("long")).alias("split"),
+    )
+    per_space = common.groupBy(*keys, "found").agg(F.sum("common").alias("covered"), F.sum((F.col("common") >= 0.3 * F.col("truth_area")).cast("int")).alias("holds"))
+    spaces = size(found, "found").join(per_space, [*keys, "found"], "left").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("spaces"), F.sum((F.coalesce("holds", F.lit(0)) >= 2).cast("long")).alias("merged"), F.sum((F.coalesce("covered", F.lit(0)) < 0.5 * F.col("found_area")).cast("long")).alias("false_spaces")
+    )
+    return rooms.join(spaces, keys, "full")
+
+
+def adjacency_report(common: DataFrame, found_borders: DataFrame, truth_borders: DataFrame, keys: list[str]) -> DataFrame:
+    """Per plan: borders of found spaces that, by the room that covers half of each or more, are borders of true rooms
+    (tp), are not (fp), and true borders without one (fn)."""
+    best = common.groupBy(*keys, "found").agg(F.max(F.struct("common", "truth", "found_area")).alias("b")).where("b.common >= 0.5D * b.found_area")
+    room = lambda side: best.select(*keys, F.col("found").alias(side), F.col("b.truth").alias(f"room_{side}"))
+    mapped = found_borders.join(room("a"), [*keys, "a"]).join(room("b"), [*keys, "b"]).where("room_a <> room_b")
+    mapped = mapped.select(*keys, F.least("room_a", "room_b").alias("a"), F.greatest("room_a", "room_b").alias("b")).distinct().withColumn("got", F.lit(True))
+    both = mapped.join(truth_borders.select(*keys, "a", "b").distinct().withColumn("real", F.lit(True)), [*keys, "a", "b"], "full")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    got, real = F.coalesce("got", F.lit(False)), F.coalesce("real", F.lit(False))
+    return both.groupBy(*keys).agg(n(got & real).alias("tp"), n(got & ~real).alias("fp"), n(~got & real).alias("fn"))

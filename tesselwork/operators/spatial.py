@@ -15,15 +15,22 @@ def cells(boxes: DataFrame, size: int, grow: int = 0) -> DataFrame:
     return boxes.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
 
 
-def grid_join(left: DataFrame, right: DataFrame, rule: Column, size: int, left_id: str, right_id: str, grow: int = 0) -> DataFrame:
-    """Pairs (left_id, right_id) of boxes that satisfy ``rule`` over aliases l and r; rule must imply that the grown
-    left box touches the right one. Each pair is met in the first cell that it shares, so none comes twice."""
+def met_on_grid(left: DataFrame, right: DataFrame, size: int, grow: float = 0, keys: list[str] | None = None) -> DataFrame:
+    """Rows of aliases l and r with equal keys whose boxes, the left one grown on all sides, share a cell: a superset
+    of those that touch. Each pair is met in the first cell that it shares, so none comes twice."""
     a, b = cells(left, size, grow).alias("l"), cells(right, size).alias("r")
     at = lambda v: F.floor(v / F.lit(size)).cast("int")
     first = lambda p: F.greatest(at(F.col(f"l.{p}") - grow), at(F.col(f"r.{p}")))
     met = (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy"))
-    own = (F.col("l.cx") == first("x")) & (F.col("l.cy") == first("y"))
-    return a.join(b, met).where(own & rule).select(F.col(f"l.{left_id}").alias("left_id"), F.col(f"r.{right_id}").alias("right_id"))
+    for k in keys or ():
+        met &= F.col(f"l.{k}") == F.col(f"r.{k}")
+    return a.join(b, met).where((F.col("l.cx") == first("x")) & (F.col("l.cy") == first("y")))
+
+
+def grid_join(left: DataFrame, right: DataFrame, rule: Column, size: int, left_id: str, right_id: str, grow: float = 0, keys: list[str] | None = None) -> DataFrame:
+    """Pairs (left_id, right_id) of boxes that satisfy ``rule`` over aliases l and r; rule must imply that the grown
+    left box touches the right one."""
+    return met_on_grid(left, right, size, grow, keys).where(rule).select(F.col(f"l.{left_id}").alias("left_id"), F.col(f"r.{right_id}").alias("right_id"))
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, most: float, rule: Column | None = None) -> DataFrame:
