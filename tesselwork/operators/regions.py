@@ -85,3 +85,22 @@ def adjacency_report(common: DataFrame, found_borders: DataFrame, truth_borders:
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     got, real = F.coalesce("got", F.lit(False)), F.coalesce("real", F.lit(False))
     return both.groupBy(*keys).agg(n(got & real).alias("tp"), n(got & ~real).alias("fp"), n(~got & real).alias("fn"))
+
+
+def point_statuses(points: DataFrame, truth: str, found: str) -> DataFrame:
+    """Status of each true space from the found spaces at its points (0 for none): missed, merged (a found space also
+    holds points of another), split, partly missed or recovered."""
+    owners = points.where(F.col(found) > 0).groupBy(found).agg(F.countDistinct(truth).alias("owners"))
+    by = points.join(owners, found, "left").groupBy(truth).agg(
+        F.countDistinct(F.when(F.col(found) > 0, F.col(found))).alias("n"), F.max(F.col(found) <= 0).alias("none"), F.coalesce(F.max("owners"), F.lit(0)).alias("owners")
+    )
+    status = F.when(F.col("none") & (F.col("n") == 0), "missed").when(F.col("owners") > 1, "merged").when(F.col("n") > 1, "split").when(F.col("none"), "partly_missed").otherwise("recovered")
+    return by.select(truth, status.alias("status"))
+
+
+def outside(common: DataFrame, spaces: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """Spaces of which less than a share lies in any building: common is what overlaps() returns for the two."""
+    inside = common.groupBy(*keys, F.col("found").alias("label")).agg(F.sum("common").alias("inside"))
+    area = spaces.groupBy(*keys, "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
+    share = F.coalesce("inside", F.lit(0)) / F.col("area")
+    return area.join(inside, [*keys, "label"], "left").where(share < least).select(*keys, "label", F.bround(share, 6).alias("share"))

@@ -69,3 +69,29 @@ def seeded_groups(items: DataFrame, matches: DataFrame, item: str, priority: str
     first = joins.groupBy(item).agg(F.min(F.struct(-F.col("p"), F.col("seed"))).alias("f"))
     own = seeds.select(F.col("seed").alias(item), F.col("seed").alias("own"))
     return items.select(item).join(own, item, "left").join(first, item, "left").select(item, F.coalesce("own", "f.seed").alias("seed"))
+
+
+def same_place(grow: float = 0.25) -> str:
+    """The rule over aliases l and r (x, y, w, h) that two boxes hold the same text: alike in height and width, and either
+    overlapping by .6 of the smaller or with middles within a quarter of a side."""
+    common = "greatest(0, least(l.x + l.w, r.x + r.w) - greatest(l.x, r.x)) * greatest(0, least(l.y + l.h, r.y + r.h) - greatest(l.y, r.y))"
+    apart = "sqrt(pow(l.x + l.w / 2 - r.x - r.w / 2, 2) + pow(l.y + l.h / 2 - r.y - r.h / 2, 2))"
+    return (
+        "l.h / greatest(1, r.h) BETWEEN 0.6D AND 1.65D AND l.w / greatest(1, r.w) BETWEEN 0.5D AND 2D "
+        f"AND ({common} / greatest(1, least(l.w * l.h, r.w * r.h)) >= 0.6D OR {apart} <= {grow}D * greatest(least(l.w, l.h), least(r.w, r.h), 4))"
+    )
+
+
+def same_text() -> str:
+    """The rule over aliases l and r (text, x, y, w, h) that two boxes are one observation: equal texts, and middles
+    within three quarters of the largest side (20 at least) or an overlap of a quarter of their union."""
+    common = "greatest(0, least(l.x + l.w, r.x + r.w) - greatest(l.x, r.x)) * greatest(0, least(l.y + l.h, r.y + r.h) - greatest(l.y, r.y))"
+    apart = "sqrt(pow(l.x + l.w / 2 - r.x - r.w / 2, 2) + pow(l.y + l.h / 2 - r.y - r.h / 2, 2))"
+    return f"l.text = r.text AND ({apart} <= greatest(20D, 0.75D * greatest(l.w, l.h, r.w, r.h, 1)) OR {common} / (l.w * l.h + r.w * r.h - {common}) >= 0.25D)"
+
+
+def same_object() -> str:
+    """The rule over aliases l and r (kind, x, y, w, h) that two boxes are one thing: IoU .85, or .5 and of one kind."""
+    common = "greatest(0, least(l.x + l.w, r.x + r.w) - greatest(l.x, r.x)) * greatest(0, least(l.y + l.h, r.y + r.h) - greatest(l.y, r.y))"
+    iou = f"{common} / (l.w * l.h + r.w * r.h - {common})"
+    return f"({iou} >= 0.85D OR (l.kind = r.kind AND {iou} >= 0.5D))"

@@ -79,7 +79,7 @@ IOU_PAIRS = (
     "q AS (SELECT p.id AS pred, t.id AS truth, p.l_suppkey AS supplier, p.l_linenumber AS line, least(p.high, t.high) - greatest(p.low, t.low) AS common, greatest(p.high, t.high) - least(p.low, t.low) AS whole "
     "FROM i p JOIN i t ON p.l_suppkey = t.l_suppkey AND p.l_linenumber = t.l_linenumber AND p.l_linestatus = 'O' AND t.l_linestatus = 'F' AND p.low < t.high AND t.low < p.high), "
     "pairs AS (SELECT pred, truth, supplier, line, round_even(common / whole, 6) AS iou FROM q WHERE common * 5 >= whole), "
-    "turns AS (SELECT *, row_number() OVER (PARTITION BY supplier, line ORDER BY iou DESC, pred DESC, truth DESC) AS nth FROM pairs), "
+    "turns AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY supplier, line ORDER BY iou DESC, pred DESC, truth DESC) AS nth FROM pairs), "
     "greedy AS (SELECT supplier, line, 0::BIGINT AS nth, []::VARCHAR[] AS used, NULL::VARCHAR AS pred, NULL::VARCHAR AS truth, NULL::DOUBLE AS iou, false AS took FROM (SELECT DISTINCT supplier, line FROM pairs) "
     "UNION ALL SELECT t.supplier, t.line, t.nth, CASE WHEN list_has_any(g.used, [t.pred, t.truth]) THEN g.used ELSE list_concat(g.used, [t.pred, t.truth]) END, t.pred, t.truth, t.iou, NOT list_has_any(g.used, [t.pred, t.truth]) "
     "FROM greedy g JOIN turns t ON t.supplier = g.supplier AND t.line = g.line AND t.nth = g.nth + 1), matched AS (SELECT pred, truth, iou FROM greedy WHERE took)"
@@ -90,7 +90,7 @@ def seeds_sql(touching: str) -> str:
     """Boxes by falling size, each kept unless it touches one that is: the list of those kept after each turn."""
     return (
         f"{touching}, near AS (SELECT node, list(other) AS others FROM (SELECT left_id AS node, right_id AS other FROM pairs UNION ALL SELECT right_id, left_id FROM pairs) GROUP BY node), "
-        "turns AS (SELECT id, coalesce(others, []) AS others, row_number() OVER (ORDER BY size DESC, id) AS nth FROM boxes LEFT JOIN near ON node = id), "
+        "turns AS MATERIALIZED (SELECT id, coalesce(others, []) AS others, row_number() OVER (ORDER BY size DESC, id) AS nth FROM boxes LEFT JOIN near ON node = id), "
         "walk AS (SELECT 0::BIGINT AS nth, NULL::BIGINT AS id, NULL::BIGINT AS seed, []::BIGINT[] AS seeds UNION ALL SELECT t.nth, t.id, coalesce(list_filter(w.seeds, lambda s: list_contains(t.others, s))[1], t.id), "
         "CASE WHEN list_has_any(w.seeds, t.others) THEN w.seeds ELSE list_append(w.seeds, t.id) END FROM walk w JOIN turns t ON t.nth = w.nth + 1)"
     )

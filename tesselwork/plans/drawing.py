@@ -119,7 +119,7 @@ OPENINGS = (
     "pairs AS (SELECT plan, pred, truth, round_even(common / whole, 6) AS score FROM u WHERE common >= 0.4::DOUBLE * least(width, length) AND round_even(common / whole, 6) >= 0.2)"
 )
 MATCHED = (
-    OPENINGS + ", turns AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY score DESC, pred DESC, truth DESC) AS nth FROM pairs), "
+    OPENINGS + ", turns AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY score DESC, pred DESC, truth DESC) AS nth FROM pairs), "
     "greedy AS (SELECT plan, 0::BIGINT AS nth, []::BIGINT[] AS used, NULL::BIGINT AS pred, NULL::BIGINT AS truth, NULL::DOUBLE AS score, false AS took FROM (SELECT DISTINCT plan FROM pairs) "
     "UNION ALL SELECT t.plan, t.nth, CASE WHEN list_has_any(g.used, [t.pred, t.truth]) THEN g.used ELSE list_concat(g.used, [t.pred, t.truth]) END, t.pred, t.truth, t.score, NOT list_has_any(g.used, [t.pred, t.truth]) "
     "FROM greedy g JOIN turns t ON t.plan = g.plan AND t.nth = g.nth + 1), matched AS (SELECT pred, truth, score FROM greedy WHERE took)"
