@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselwork.llm.columns import slices
+
 # Fixed values of the transport stream format.
 PACKET, SYNC, NULL_PID, PAT_PID = 188, 0x47, 0x1FFF, 0
 PRIVATE_STREAM, PRIVATE_TYPE, CLOCK = 0xBD, 0x06, 90_000
@@ -254,7 +256,7 @@ def mux(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             media = pa.array([mux_bytes(padded(t.as_py())) for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), media], ["doc_id", "n_bytes", "media"])
 
@@ -284,7 +286,7 @@ def demux(media: DataFrame, media_col: str = "media") -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [one(x.as_py() or b"") for x in b.column(len(keep))]
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], [*keep, *names])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselwork.llm.columns import bounded_broadcast
+from tesselwork.llm.columns import bounded_broadcast, slices
 from tesselwork.operators.graph import components
 from tesselwork.sources.scratch import release, written
 
@@ -112,7 +112,7 @@ def _signed(rows: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, dtype=np.int64)
-        for b in batches:
+        for b in slices(batches):
             n, d1, d2, keys, sketches = [], [], [], [], []
             for text in b.column(3):
                 sh = shingles(text.as_py(), width)
@@ -135,7 +135,7 @@ def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) ->
     rows = texts.join(bounded_broadcast(wanted), "h").select("node", "d1", "d2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             node, d1, d2, texts_ = (b.column(i).to_pylist() for i in range(4))
             out_node, out = [], []
             for i, text in enumerate(texts_):

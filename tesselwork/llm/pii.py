@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselwork.llm.columns import slices
 from tesselwork.sources.scratch import written
 
 BASE = ("email", "ip", "card", "phone")
@@ -302,7 +303,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Return doc_id and the array of candidates of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([candidates(t.as_py() or "") for t in b.column(1)], _FOUND)], ["doc_id", "found"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, found {_FOUND_SQL}")
@@ -353,7 +354,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         return (doc, *(kinds[k] for k in BASE), hashlib.sha256(spell(base).encode()).hexdigest(), spell(spans), len(spans) - len(base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [one(d, f) for d, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -376,7 +377,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [t if t is None else masked(t, decided(candidates(t), model, threshold)) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 

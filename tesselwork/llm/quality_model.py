@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselwork.llm.columns import slices
 from tesselwork.sources.scratch import written
 
 _PLAIN = re.compile(r"[(\"'¿¡]?\w[\w'’.-]*+[.,;:?!)\"']?")
@@ -40,7 +41,7 @@ _SIGNS, _MARKS = frozenset("#*$%&<>{}\\^~="), frozenset("!?")
 #: What one word shows: slot of its outline, signs, bars, marks, digits, whether it shouts, whether it is plain.
 _Word = tuple[int, int, int, int, int, bool, bool]
 _words: dict[bytes, _Word] = {}
-KNOWN_WORDS = 200_000  # words that a Python worker remembers; then it starts anew
+KNOWN_WORDS = 100_000  # words that a Python worker remembers; then it starts anew
 
 
 def _slot(name: str) -> int:
@@ -202,7 +203,7 @@ def look(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts. A null or empty text has no measures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             seen = [shown(t or "") for t in b.column(1).to_pylist()]
             empty = [not t for t in b.column(1).to_pylist()]
             cols = [
@@ -244,7 +245,7 @@ def _scored(seen: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, h, score and votes of the rows of ``look``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             measured, slots, times = (b.column(i).to_pylist() for i in (2, 3, 4))
             scores = [0.0 if m is None else probability(*_of_row(m, s, t), weights) for m, s, t in zip(measured, slots, times, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(5), b.column(0), pa.array(scores, pa.float64()), b.column(1)], ["doc_id", "h", "score", "votes"])
@@ -271,7 +272,7 @@ def good_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     weights, at = fit(docs, id_col, text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([score(t, weights) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
