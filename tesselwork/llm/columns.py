@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +43,3 @@ BROADCAST_ROWS = 1_000_000
 def bounded_broadcast(rows: DataFrame) -> DataFrame:
     """A written table of narrow rows, hinted for broadcast where it has at most BROADCAST_ROWS; else joined by shuffle."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
-SLICE = 500  # rows of a batch that a Python worker has in hand at once
-
-
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so that what Python makes of them stays small; freed memory goes back."""
-    for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
-        pa.default_memory_pool().release_unused()

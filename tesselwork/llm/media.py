@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselwork.llm.columns import slices
+from tesselwork.llm.batches import slices
 
 # Fixed values of the transport stream format.
 PACKET, SYNC, NULL_PID, PAT_PID = 188, 0x47, 0x1FFF, 0

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselwork.llm.columns import bounded_broadcast, slices
+from tesselwork.llm.batches import slices
+from tesselwork.llm.columns import bounded_broadcast
 from tesselwork.operators.graph import components
 from tesselwork.sources.scratch import release, written
 

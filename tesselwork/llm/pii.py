@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselwork.llm.columns import slices
+from tesselwork.llm.batches import slices
 from tesselwork.sources.scratch import written
 
 BASE = ("email", "ip", "card", "phone")
