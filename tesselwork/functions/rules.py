@@ -23,6 +23,9 @@ LABEL_FUNCTION = {
     "bathroom": "bath", "laundry": "laundry", "laundry room": "laundry",
 }
 
+# Fixed value: the pattern of measures, areas and units in a text of capitals.
+MEASURE = r"\d+\s*['′\"″]|\d+[.,]\d+|\bM2\b|M²|\bSQ\b|\bFT\b|\d{3,}"
+
 
 def millimetres_per_pixel(per_unit: Column, unit: Column) -> Column:
     """struct(mm, reason): from printed sizes alone; null and why where there are none."""
@@ -76,7 +79,7 @@ def is_name_token(token: Column, short: tuple[str, ...]) -> Column:
     """Words that can be part of a room's name: numbers of one or two digits, words of three letters or more, and the
     ``short`` ones; no measures, areas, units or mixed fragments."""
     t = F.regexp_replace(F.regexp_replace(F.trim(token), r"^[.,:;]+", ""), r"[.,:;]+$", "")
-    measure = F.upper(t).rlike(r"\d+\s*['′\"″]|\d+[.,]\d+|\bM2\b|M²|\bSQ\b|\bFT\b|\d{3,}")
+    measure = F.upper(t).rlike(MEASURE)
     word = t.rlike(r"^[A-Za-z][A-Za-z'./-]*$")
     letters = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
     return (t != "") & ~measure & (t.rlike(r"^\d{1,2}$") | (word & ((letters >= 3) | F.upper(t).isin(*short))))
