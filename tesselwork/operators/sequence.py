@@ -13,6 +13,14 @@ def islands(rows: DataFrame, group: str, order: list[str], value: str) -> DataFr
     return rows.withColumn("is_new", new).withColumn("run", F.sum("is_new").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("is_new")
 
 
+def curve_support(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """Per group, the share of true values, less where they are scattered: times the longest run of them over .4 of
+    all, 1 at most."""
+    runs = islands(rows, group, order, value).groupBy(group, "run").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("long")).alias("hits"))
+    by = runs.groupBy(group).agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"), F.max("hits").alias("longest"))
+    return by.select(group, (F.col("hits") / F.col("n") * F.least(F.lit(1.0), F.col("longest") / (0.4 * F.col("n")))).alias("support"))
+
+
 def sweep_merge(rows: DataFrame, group: list[str], low: str, high: str, reach: float = 0) -> DataFrame:
     """Merge intervals that overlap or lie within ``reach``: one row of group, low, high and parts for each."""
     line = Window.partitionBy(*group).orderBy(low, high)

@@ -27,6 +27,12 @@ def met_on_grid(left: DataFrame, right: DataFrame, size: int, grow: float = 0, k
     return a.join(b, met).where((F.col("l.cx") == first("x")) & (F.col("l.cy") == first("y")))
 
 
+def grown(boxes: DataFrame, by: Column) -> DataFrame:
+    """Boxes grown on all sides, each by its own number of whole units; the boxes as they were stand in ``own``."""
+    was = boxes.withColumn("own", F.struct(*BOX))
+    return was.withColumns({"x": F.col("own.x") - by, "y": F.col("own.y") - by, "w": F.col("own.w") + 2 * by, "h": F.col("own.h") + 2 * by})
+
+
 def grid_join(left: DataFrame, right: DataFrame, rule: Column, size: int, left_id: str, right_id: str, grow: float = 0, keys: list[str] | None = None) -> DataFrame:
     """Pairs (left_id, right_id) of boxes that satisfy ``rule`` over aliases l and r; rule must imply that the grown
     left box touches the right one."""

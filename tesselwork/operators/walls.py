@@ -25,7 +25,7 @@ def framed(segments: DataFrame) -> DataFrame:
     )
 
 
-def _turn(a: str, b: str) -> str:
+def turn(a: str, b: str) -> str:
     return f"least(abs({a}.angle - {b}.angle), 180 - abs({a}.angle - {b}.angle))"
 
 
@@ -33,13 +33,13 @@ def _along(side: str, k: int, by: str = "l") -> str:
     return f"({side}.x{k} * {by}.ux + {side}.y{k} * {by}.uy)"
 
 
-def _to_segment(px: str, py: str, s: str) -> str:
+def to_segment(px: str, py: str, s: str) -> str:
     """Distance of a point to segment s."""
     t = f"greatest(0D, least(1D, (({px} - {s}.x0) * {s}.ux + ({py} - {s}.y0) * {s}.uy) / {s}.length)) * {s}.length"
     return f"sqrt(pow({px} - ({s}.x0 + {t} * {s}.ux), 2) + pow({py} - ({s}.y0 + {t} * {s}.uy), 2))"
 
 
-def _thickest(walls: DataFrame) -> float:
+def thickest(walls: DataFrame) -> float:
     return float(walls.agg(F.max("thickness")).first()[0] or 0.0)  # one number
 
 
@@ -47,9 +47,9 @@ def collinear_pairs(walls: DataFrame) -> DataFrame:
     """a, b of walls that are pieces of one: within 3 degrees, of similar thickness and on one line, with a break no
     wider than the wall is thick (3 at least), or one that a crossing wall fills. A filled wall never continues a thin
     one. ``walls`` also has style."""
-    reach = math.ceil(_thickest(walls)) + 10
+    reach = math.ceil(thickest(walls)) + 10
     f = framed(walls)
-    met = spatial.met_on_grid(f, f, CELL, reach, ["plan"]).where(f"l.id < r.id AND {_turn('l', 'r')} <= 3")
+    met = spatial.met_on_grid(f, f, CELL, reach, ["plan"]).where(f"l.id < r.id AND {turn('l', 'r')} <= 3")
     met = met.where("NOT (l.style = 'filled' AND r.style = 'thin') AND NOT (l.style = 'thin' AND r.style = 'filled')")
     met = met.where("abs(l.thickness - r.thickness) <= 0.35D * greatest(l.thickness, r.thickness) + 2")
     met = met.where("abs((r.mx - l.mx) * -l.uy + (r.my - l.my) * l.ux) <= 0.3D * greatest(l.thickness, r.thickness) + 1.5D")
@@ -60,8 +60,8 @@ def collinear_pairs(walls: DataFrame) -> DataFrame:
     )
     direct = met.where("gap <= greatest(3D, t)").select("a", "b")
     open_ = met.where("gap > greatest(3D, t)").selectExpr("*", "(upto + gap / 2) * ux + rho * -uy AS x", "(upto + gap / 2) * uy + rho * ux AS y", "0 AS w", "0 AS h")
-    filled = spatial.met_on_grid(open_, f, CELL, reach, ["plan"]).where(f"r.id <> l.a AND r.id <> l.b AND {_turn('l', 'r')} >= 60 AND l.gap <= r.thickness + 6")
-    filled = filled.where(f"{_to_segment('l.x', 'l.y', 'r')} <= 0.5D * r.thickness + 2").selectExpr("l.a", "l.b")
+    filled = spatial.met_on_grid(open_, f, CELL, reach, ["plan"]).where(f"r.id <> l.a AND r.id <> l.b AND {turn('l', 'r')} >= 60 AND l.gap <= r.thickness + 6")
+    filled = filled.where(f"{to_segment('l.x', 'l.y', 'r')} <= 0.5D * r.thickness + 2").selectExpr("l.a", "l.b")
     return direct.unionByName(filled).distinct()
 
 
@@ -88,12 +88,12 @@ def connect(walls: DataFrame, line_width: float) -> DataFrame:
     f = framed(walls)
     ends = f.withColumn("e", F.explode(F.array(*[F.struct(F.lit(n).alias("end"), F.col(f"x{n}").alias("px"), F.col(f"y{n}").alias("py"), F.lit(2.0 * n - 1).alias("sign")) for n in (0, 1)])))
     ends = ends.selectExpr("plan", "id", "angle", "thickness", "e.end", "e.px", "e.py", "ux * e.sign AS ox", "uy * e.sign AS oy", "e.px AS x", "e.py AS y", "0 AS w", "0 AS h")
-    reach = math.ceil(2 * _thickest(walls) + 3 * line_width) + 8
-    met = spatial.met_on_grid(ends, f, CELL, reach, ["plan"]).where(f"r.id <> l.id AND {_turn('l', 'r')} >= 25")
+    reach = math.ceil(2 * thickest(walls) + 3 * line_width) + 8
+    met = spatial.met_on_grid(ends, f, CELL, reach, ["plan"]).where(f"r.id <> l.id AND {turn('l', 'r')} >= 25")
     s = "((r.x0 - l.px) * r.uy - (r.y0 - l.py) * r.ux) / (l.ox * r.uy - l.oy * r.ux)"
     met = met.selectExpr("*", f"{s} AS s").selectExpr("l.*", "r.id AS other", "r.thickness AS thick", "s", "px + s * ox AS qx", "py + s * oy AS qy", f"struct(r.x0, r.y0, r.ux, r.uy, r.length) AS b")
     met = met.where(f"s BETWEEN -0.5D * thick - 2 AND 0.75D * (thick + thickness) + {2 * line_width + 3}D")
-    met = met.where(f"{_to_segment('qx', 'qy', 'b')} <= 0.5D * thickness + {line_width + 3}D")
+    met = met.where(f"{to_segment('qx', 'qy', 'b')} <= 0.5D * thickness + {line_width + 3}D")
     best = met.groupBy("plan", "id", "end").agg(F.min(F.struct(F.abs("s").alias("s"), "other", "qx", "qy")).alias("b"))
     return best.select("plan", "id", "end", "b.other", F.col("b.qx").alias("x"), F.col("b.qy").alias("y"))
 

@@ -1,7 +1,7 @@
 import pytest
 from compare import FOLDER, differs
 
-from tesselwork.plans import catalog, drawing, extra, more, rules  # noqa: F401
+from tesselwork.plans import catalog, drawing, extra, layout, more, rules  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
