@@ -98,3 +98,30 @@ def contains(points: Column, px: Column, py: Column) -> Column:
 
     odd = F.aggregate(F.zip_with(points, after, crosses), F.lit(0), lambda s, v: s + v) % 2 == 1
     return odd | F.exists(F.zip_with(points, after, touches), lambda t: t)
+
+
+def cubic_arc(p0: Column, c1: Column, c2: Column, p3: Column) -> Column:
+    """struct(x, y, radius, sweep) of the circle whose arc a cubic curve draws; null where it draws none: the centre lies
+    where the normals at its ends meet, and its ends and its middle are as far from it, within .08 of the radius."""
+    ux, uy, vx, vy = c1["x"] - p0["x"], c1["y"] - p0["y"], p3["x"] - c2["x"], p3["y"] - c2["y"]
+    det = uy * vx - ux * vy  # of the normals (-uy, ux) and (vy, -vx)
+    s = ((p3["x"] - p0["x"]) * -vx - (p3["y"] - p0["y"]) * vy) / F.when(F.abs(det) >= 1e-9, det)
+    x, y = p0["x"] + s * -uy, p0["y"] + s * ux
+    r0, r3 = length(x, y, p0["x"], p0["y"]), length(x, y, p3["x"], p3["y"])
+    mid = lambda k: (p0[k] + 3 * c1[k] + 3 * c2[k] + p3[k]) / 8
+    off = F.abs(length(x, y, mid("x"), mid("y")) - r0)
+    turn = F.degrees(F.atan2(p3["y"] - y, p3["x"] - x) - F.atan2(p0["y"] - y, p0["x"] - x))
+    sweep = F.abs(F.pmod(turn + 180, F.lit(360.0)) - 180)
+    ends = (F.hypot(ux, uy) >= 1e-6) & (F.hypot(vx, vy) >= 1e-6)
+    round_ = ends & (r0 >= 1) & (F.abs(r0 - r3) <= 0.08 * r0) & (off <= 0.08 * r0)
+    return F.when(round_, F.struct(x.alias("x"), y.alias("y"), ((r0 + r3) / 2).alias("radius"), sweep.alias("sweep")))
+
+
+def gap_pieces(cuts: Column, gap: Column, least: Column) -> Column:
+    """A gap cut at places along it, as an array of struct(low, high): a cut less than ``least`` beyond the last one is
+    passed over, and a rest shorter than that joins the piece before it. Both ends are double."""
+    zero = F.lit(0.0)
+    kept = F.aggregate(F.array_sort(cuts), F.array(zero), lambda a, c: F.when(c - F.element_at(a, -1) >= least, F.concat(a, F.array(c))).otherwise(a))
+    points = F.when(gap - F.element_at(kept, -1) < least, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(gap))).otherwise(F.concat(kept, F.array(gap)))
+    whole = F.when(F.size(cuts) == 0, F.array(zero, gap)).otherwise(points)
+    return F.zip_with(F.slice(whole, 1, F.size(whole) - 1), F.slice(whole, 2, F.size(whole)), lambda a, b: F.struct(a.alias("low"), b.alias("high")))

@@ -117,3 +117,37 @@ def rectangle_around(x0: Column, y0: Column, x1: Column, y1: Column, half: Colum
     nx, ny = -(y1 - y0) / length * half, (x1 - x0) / length * half
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     return F.when((length >= 1e-9) & (half > 0), F.array(corner(x0 + nx, y0 + ny), corner(x1 + nx, y1 + ny), corner(x1 - nx, y1 - ny), corner(x0 - nx, y0 - ny)))
+
+
+def opening_type(feet_of_door: float = 4.6, feet_of_garage: float = 8.0) -> Column:
+    """struct(kind, confidence, symbol) of an opening from its evidence, the first rule that holds: sliding panels, a door's
+    symbol, glazing, an outline in its context, a bare gap, or nothing that decides. A single line is an outline only.
+
+    Columns: source, relation, sliding, arc, double_arc, leaf (scores), glazed (full lines inside the wall), dashed, inner
+    (any line inside), faces (lines on the wall's faces), covered (lines that cover .6), most (the best line's cover),
+    width, thickness, wall, feet (null where there is no scale).
+    """
+    single, inside, outside = "source = 'single_line'", "relation = 'between_rooms'", "relation = 'room_to_exterior'"
+    door = "greatest(arc, double_arc * 1.05D, leaf * 0.95D)"
+    glazing = f"CASE WHEN {single} THEN 0D WHEN glazed > 0 THEN CASE WHEN faces > 0 OR glazed >= 2 THEN 0.92D ELSE 0.8D END WHEN dashed THEN 0.62D ELSE 0D END"
+    faces = f"(CASE WHEN {single} THEN least(covered, 1) ELSE faces END)"
+    base = "greatest(wall, 1D)"
+    small = f"CASE WHEN feet IS NOT NULL THEN feet <= {feet_of_door}D ELSE width <= 6D * greatest(thickness, {base}) END"
+    garage = f"CASE WHEN feet IS NOT NULL THEN feet >= {feet_of_garage}D ELSE width >= 14D * {base} END"
+    made = lambda kind, confidence, symbol: f"struct('{kind}' AS kind, {confidence} AS confidence, {symbol} AS symbol)"
+    drawn = "CASE WHEN double_arc * 1.05D >= greatest(arc, leaf * 0.95D) THEN 'double swing' WHEN arc >= leaf * 0.95D THEN 'swing arc' ELSE 'door leaf' END"
+    pane = f"CASE WHEN {glazing} >= 0.8D THEN 'glazing lines' ELSE 'dashed glazing line' END"
+    outline = (
+        f"CASE WHEN {inside} THEN {made('door', '0.72D', repr('outline only'))} WHEN {outside} AND {small} AND {faces} >= 2 THEN {made('door', '0.62D', repr('outline only'))} "
+        f"WHEN {outside} AND {garage} THEN {made('door', '0.58D', repr('outline only'))} ELSE {made('opening', '0.4D', repr('outline only'))} END"
+    )
+    first = (
+        f"CASE WHEN sliding AND NOT {single} THEN {made('door', '0.85D', repr('sliding panels'))} "
+        f"WHEN {door} >= 0.55D AND {door} >= {glazing} - 0.1D THEN {made('door', f'least(0.95D, 0.6D + 0.35D * {door} + CASE WHEN {inside} THEN 0.05D ELSE 0D END)', drawn)} "
+        f"WHEN {glazing} >= 0.62D AND {inside} AND {glazing} < 0.8D THEN {made('opening', '0.45D', repr('weak glazing'))} "
+        f"WHEN {glazing} >= 0.62D THEN {made('window', f'least(0.95D, 0.45D + 0.5D * ({glazing}) - CASE WHEN {inside} THEN 0.15D ELSE 0D END)', pane)} "
+        f"WHEN {faces} > 0 AND (NOT inner OR {single}) THEN {outline} "
+        f"WHEN most < 0.2D AND {door} < 0.35D THEN {made('opening', '0.4D', repr('bare gap'))} ELSE {made('opening', '0.4D', repr('none'))} END"
+    )
+    unsure = "CASE WHEN relation IN ('unknown', 'same_space') AND t.kind <> 'opening' THEN 0.85D ELSE 1D END"
+    return F.expr(f"transform(array({first}), t -> struct(t.kind AS kind, bround(t.confidence * {unsure}, 2) AS confidence, t.symbol AS symbol))[0]")

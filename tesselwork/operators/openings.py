@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselwork.operators import graph, select, spatial
 from tesselwork.operators.walls import CELL, framed, thickest, to_segment, turn
+from tesselwork.sources.scratch import written
 
 
 def _longest(framed_rows: DataFrame) -> float:
@@ -90,3 +91,36 @@ def absorbed_strips(pieces: DataFrame, share: float = 0.5) -> DataFrame:
     met = spatial.met_on_grid(f, f, CELL, 1, ["plan"]).where(f"l.id <> r.id AND l.length < {share}D * r.length AND {DOT} >= 0.999D AND {near} <= 1")
     found = met.where("size(l.lines) > 0 AND l.lines = r.lines").groupBy(F.col("l.id").alias("strip")).agg(F.min("r.id").alias("piece"))
     return found.join(found.select(F.col("strip").alias("piece")), "piece", "left_anti").select("strip", "piece")
+
+
+def new_openings(found: DataFrame, known: DataFrame) -> DataFrame:
+    """plan and id of the found openings that are none of the known ones, by the rule of same_openings()."""
+    f, k = framed(found), framed(known)
+    thick = max(3.0, thickest(found), thickest(known))
+    reach = math.ceil(0.75 * thick + 0.17 * max(_longest(f), _longest(k))) + 1
+    met = spatial.met_on_grid(f, k, CELL, reach, ["plan"]).where(f"{DOT} >= 0.95D AND {ACROSS} <= 0.75D * greatest(l.thickness, r.thickness, 3D)")
+    old = met.where(f"{COMMON} >= 0.5D * least(l.length, r.length)").select("l.plan", "l.id").distinct()
+    return found.select("plan", "id").join(old, ["plan", "id"], "left_anti")
+
+
+def atomic_segments(segments: DataFrame, tolerance: float = 10.0) -> DataFrame:
+    """plan, id and the ends of the pieces that segments fall into where others cross them, or end on them in their own
+    line. Of places within half the tolerance the first counts: a segment's own ends, then others by their ids; pieces
+    shorter than 2 are left out."""
+    s = segments.selectExpr("*", "abs(x1 - x0) >= abs(y1 - y0) AS flat", "least(x0, x1) AS x", "least(y0, y1) AS y", "abs(x1 - x0) AS w", "abs(y1 - y0) AS h")
+    met = spatial.met_on_grid(s, s, CELL, math.ceil(tolerance), ["plan"]).where("l.id <> r.id")
+    cross = met.where("l.flat <> r.flat").selectExpr("l.plan", "l.id", "r.id AS other", "0 AS which", "CASE WHEN l.flat THEN (r.x0 + r.x1) / 2 ELSE (l.x0 + l.x1) / 2 END AS px", "CASE WHEN l.flat THEN (l.y0 + l.y1) / 2 ELSE (r.y0 + r.y1) / 2 END AS py", "l.x", "l.y", "l.w", "l.h", "r.x AS rx", "r.y AS ry", "r.w AS rw", "r.h AS rh", "l.flat")
+    near = lambda p, low, size: f"{p} BETWEEN {low} - {tolerance}D AND {low} + {size} + {tolerance}D"
+    cross = cross.where(f"({near('px', 'CASE WHEN flat THEN x ELSE rx END', 'CASE WHEN flat THEN w ELSE rw END')}) AND ({near('py', 'CASE WHEN flat THEN ry ELSE y END', 'CASE WHEN flat THEN rh ELSE h END')})")
+    ends = met.where("l.flat = r.flat").selectExpr("l.plan", "l.id", "r.id AS other", "inline(array(struct(0 AS which, r.x0 AS px, r.y0 AS py), struct(1 AS which, r.x1 AS px, r.y1 AS py)))", "l.x0", "l.y0", "l.x1", "l.y1", "l.x", "l.y", "l.w", "l.h")
+    ends = ends.where(f"abs((px - x0) * (y1 - y0) - (py - y0) * (x1 - x0)) <= {tolerance}D AND {near('px', 'x', 'w')} AND {near('py', 'y', 'h')}")
+    own = s.selectExpr("plan", "id", "cast(NULL AS bigint) AS other", "inline(array(struct(0 AS which, x0 AS px, y0 AS py), struct(1 AS which, x1 AS px, y1 AS py)))")
+    cols = ["plan", "id", "other", "which", "px", "py"]
+    points = own.unionByName(cross.select(cols)).unionByName(ends.select(cols)).join(s.select("plan", "id", "flat"), ["plan", "id"])
+    nth = F.row_number().over(Window.partitionBy("plan", "id").orderBy(F.col("other").asc_nulls_first(), "which"))
+    points = written(points.withColumn("point", F.struct("plan", "id", nth.alias("nth"))).withColumn("along", F.when(F.col("flat"), F.col("px")).otherwise(F.col("py"))), "split-points")
+    close = spatial.band_join(points, points, ["plan", "id"], "along", tolerance / 2).where(f"l.point < r.point AND sqrt(pow(l.px - r.px, 2) + pow(l.py - r.py, 2)) <= {tolerance / 2}D")
+    stay = select.keep_first(points.withColumn("first", F.lit(0)), close.selectExpr("l.point AS a", "r.point AS b"), "point", "first")
+    line = Window.partitionBy("plan", "id").orderBy("along", "point")
+    out = points.join(stay, "point", "left_semi").select("plan", "id", F.col("px").alias("x0"), F.col("py").alias("y0"), F.lead("px").over(line).alias("x1"), F.lead("py").over(line).alias("y1"))
+    return out.where("sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) >= 2")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselwork.sources.scratch import written
+
 
 def islands(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """Add run: the number, from 1, of each stretch of equal neighbouring values within a group."""
@@ -141,3 +143,44 @@ def elementary(rows: DataFrame, group: list[str], low: str, high: str) -> DataFr
     line = Window.partitionBy(*group).orderBy(low)
     cut = at.select(*group, low, F.lead(low).over(line).alias(high), F.sum("step").over(line).alias("covers"))
     return cut.where(F.col(high).isNotNull() & (F.col("covers") > 0))
+
+
+def paying_rows(rows: DataFrame, group: str, value: str, tie: str, hit: Column, batch: int = 8, most: int = 60, after: int = 16, one_in: int = 12, step: float = 1024) -> DataFrame:
+    """Rows that a budget lets through, in batches by value and tie: ``most`` of a group, and none from the first batch
+    before which, ``after`` rows or more, there was no hit or fewer than one in ``one_in``."""
+    placed = numbered(rows.withColumn("hit", hit.cast("long")), group, value, tie, step).withColumn("batch", F.floor((F.col("nth") - 1) / batch)).where(F.col("nth") <= most)
+    line = Window.partitionBy(group).orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    by = placed.groupBy(group, "batch").agg(F.sum("hit").alias("hits")).withColumn("before", F.coalesce(F.sum("hits").over(line), F.lit(0)))
+    read = F.col("batch") * batch
+    poor = by.where((read >= after) & (F.col("before") < F.greatest(F.lit(1.0), read / one_in))).groupBy(group).agg(F.min("batch").alias("stop"))
+    return placed.join(poor, group, "left").where("stop IS NULL OR batch < stop").drop("stop", "hit")
+
+
+def weighted_classes(rows: DataFrame, group: str, value: str, weight: str, tolerance: float = 0.18, share: float = 0.12, rounds: int = 3) -> DataFrame:
+    """Up to ``rounds`` classes of values per group: the whole number with the most weight within tolerance x it + 1 (of
+    equals the least) draws the rows there, whose weighted mean is the class, until one holds less than ``share`` of all."""
+    left = rows.groupBy(group, F.col(value).cast("double").alias("v")).agg(F.sum(weight).alias("m"))
+    total = left.groupBy(group).agg(F.sum("m").alias("whole"))
+    left, out = written(left, "classes"), None
+    for n in range(1, rounds + 1):
+        at = F.explode(F.sequence(F.floor((F.col("v") - 1) / (1 + tolerance)), F.ceil((F.col("v") + 1) / (1 - tolerance))))
+        near = left.withColumn("c", at).where(F.abs(F.col("v") - F.col("c")) <= tolerance * F.col("c") + 1)
+        seats = left.select(group, F.rint("v").cast("long").alias("c")).distinct()
+        sums = near.join(seats, [group, "c"], "left_semi").groupBy(group, "c").agg(F.sum("m").alias("mass"))
+        best = sums.groupBy(group).agg(F.max(F.struct("mass", (-F.col("c")).alias("less"))).alias("b")).join(total, group)
+        best = best.where((F.col("b.mass") > 0) & (F.col("b.mass") >= share * F.col("whole"))).select(group, (-F.col("b.less")).alias("c"))
+        left = written(left.join(best, group).withColumn("drawn", F.abs(F.col("v") - F.col("c")) <= tolerance * F.col("c") + 1).drop("c"), "classes")  # groups without a class end
+        made = left.where("drawn").groupBy(group).agg((F.sum(F.col("v") * F.col("m")) / F.sum("m")).alias("middle"), F.sum("m").alias("mass")).withColumn("nth", F.lit(n))
+        out, left = made if out is None else out.unionByName(made), left.where("NOT drawn").drop("drawn")
+    return out
+
+
+def scale_of_rooms(rooms: DataFrame) -> DataFrame:
+    """Per plan, pixels of a unit from rooms (plan, space, pixels, side_a, side_b, unit): the square roots of a space's pixels
+    over its printed area where it has one name, plausible sides and a root of 20 to 120; the median of the unit (ft or m)
+    with more of them, ft of equals, and their number."""
+    one = rooms.withColumn("names", F.count(F.lit(1)).over(Window.partitionBy("plan", "space"))).where("names = 1 AND pixels > 0")
+    one = one.where("least(side_a, side_b) >= CASE WHEN unit = 'ft' THEN 2.5D ELSE 0.75D END").withColumn("root", F.sqrt(F.col("pixels") / (F.col("side_a") * F.col("side_b")))).where("root BETWEEN 20 AND 120")
+    by = one.groupBy("plan", "unit").agg(F.count(F.lit(1)).alias("rooms"), F.median("root").alias("middle"))
+    best = by.groupBy("plan").agg(F.max(F.struct("rooms", (F.col("unit") == "ft").alias("feet"), "unit", "middle")).alias("b"))
+    return best.select("plan", "b.unit", F.bround("b.middle", 2).alias("pixels_per_unit"), "b.rooms")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselwork.functions import geometry, rules
 from tesselwork.operators import layout, openings, sequence, spatial
 from tesselwork.plans.catalog import query
 from tesselwork.plans.drawing import LABELS, OPENINGS, SPACES, WALLS, _far, _inside, _turn, label_table, spaces, wall_table
@@ -320,3 +321,118 @@ def curve_support(spark: SparkSession, folder: str) -> DataFrame:
     """A user's events stand for the points of a curve; clicks and views are drawn ones."""
     e = table(spark, folder, "events").select("user_id", "event_id", F.col("event_type").isin("click", "view").alias("near"))
     return sequence.curve_support(e, "user_id", ["event_id"], "near").withColumn("support", F.round("support", 6))
+
+
+# --- pieces, arcs, classes, budgets, types
+
+
+@query(
+    f"WITH {WALLS} SELECT plan, id FROM wall l WHERE id % 10 <> 1 AND NOT EXISTS (SELECT 1 FROM wall r WHERE l.plan = r.plan AND r.id % 10 = 1 AND {_DOT} >= 0.95 AND {_ACROSS} <= 0.75 * greatest(l.thickness, r.thickness, 3) AND {_COMMON} >= 0.5 * least(l.len, r.len))"
+)
+def new_openings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every tenth wall stands for a known opening."""
+    w = wall_table(spark, folder)
+    return openings.new_openings(w.where("id % 10 <> 1"), w.where("id % 10 = 1"))
+
+
+@query(
+    f"WITH RECURSIVE {WALLS}, s AS (SELECT plan, id, x0, y0, x1, y1, abs(x1 - x0) >= abs(y1 - y0) AS flat FROM wall), met AS (SELECT l, r FROM s l JOIN s r ON l.plan = r.plan AND l.id <> r.id), "
+    "x AS (SELECT l.plan AS plan, l.id AS id, r.id AS other, 0 AS which, CASE WHEN l.flat THEN l ELSE r END AS h, CASE WHEN l.flat THEN r ELSE l END AS v FROM met WHERE l.flat <> r.flat), c AS (SELECT plan, id, other, which, (v.x0 + v.x1) / 2 AS px, (h.y0 + h.y1) / 2 AS py FROM x "
+    "WHERE (v.x0 + v.x1) / 2 BETWEEN least(h.x0, h.x1) - 10 AND greatest(h.x0, h.x1) + 10 AND (h.y0 + h.y1) / 2 BETWEEN least(v.y0, v.y1) - 10 AND greatest(v.y0, v.y1) + 10), "
+    "e AS (SELECT l.plan AS plan, l.id AS id, r.id AS other, which, CASE which WHEN 0 THEN r.x0 ELSE r.x1 END AS px, CASE which WHEN 0 THEN r.y0 ELSE r.y1 END AS py, l FROM met CROSS JOIN (VALUES (0), (1)) w(which) WHERE l.flat = r.flat), "
+    "p AS (SELECT plan, id, NULL::BIGINT AS other, 0 AS which, x0 AS px, y0 AS py FROM s UNION ALL SELECT plan, id, NULL, 1, x1, y1 FROM s UNION ALL SELECT * FROM c UNION ALL SELECT plan, id, other, which, px, py FROM e "
+    "WHERE abs((px - l.x0) * (l.y1 - l.y0) - (py - l.y0) * (l.x1 - l.x0)) <= 10 AND px BETWEEN least(l.x0, l.x1) - 10 AND greatest(l.x0, l.x1) + 10 AND py BETWEEN least(l.y0, l.y1) - 10 AND greatest(l.y0, l.y1) + 10), "
+    "turns AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY plan, id ORDER BY other NULLS FIRST, which) AS nth FROM p), "
+    "walk AS (SELECT plan, id, 0::BIGINT AS nth, []::STRUCT(x DOUBLE, y DOUBLE)[] AS kept, NULL::DOUBLE AS px, NULL::DOUBLE AS py, false AS stays FROM s UNION ALL SELECT t.plan, t.id, t.nth, CASE WHEN len(list_filter(w.kept, lambda k: sqrt((k.x - t.px) ** 2 + (k.y - t.py) ** 2) <= 5)) > 0 THEN w.kept ELSE list_append(w.kept, {'x': t.px, 'y': t.py}) END, "
+    "t.px, t.py, len(list_filter(w.kept, lambda k: sqrt((k.x - t.px) ** 2 + (k.y - t.py) ** 2) <= 5)) = 0 FROM walk w JOIN turns t ON t.plan = w.plan AND t.id = w.id AND t.nth = w.nth + 1), "
+    "o AS (SELECT plan, id, px AS x0, py AS y0, lead(px) OVER q AS x1, lead(py) OVER q AS y1 FROM walk JOIN s USING (plan, id) WHERE stays WINDOW q AS (PARTITION BY plan, id ORDER BY CASE WHEN flat THEN px ELSE py END, nth)) SELECT * FROM o WHERE sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) >= 2"
+)
+def atomic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return openings.atomic_segments(wall_table(spark, folder))
+
+
+_CUBIC = {"ax": "0", "ay": "k % 5", "bx": "k % 7", "by_": "10 + k % 6", "cx": "8 + k % 5", "cy": "18 + k % 4", "dx": "20", "dy": "18 + k % 7"}
+
+
+@query(
+    "WITH c AS (SELECT p_partkey AS k, " + ", ".join(f"({e.replace('k', 'p_partkey')})::DOUBLE AS {n}" for n, e in _CUBIC.items()) + " FROM part), u AS (SELECT *, bx - ax AS ux, by_ - ay AS uy, dx - cx AS vx, dy - cy AS vy FROM c), d AS (SELECT *, uy * vx - ux * vy AS det FROM u WHERE sqrt(ux ** 2 + uy ** 2) >= 1e-6 AND sqrt(vx ** 2 + vy ** 2) >= 1e-6), "
+    "s AS (SELECT *, (-(dx - ax) * vx - (dy - ay) * vy) / det AS s FROM d WHERE abs(det) >= 1e-9), m AS (SELECT *, ax - s * uy AS x, ay + s * ux AS y FROM s), r AS (SELECT *, sqrt((x - ax) ** 2 + (y - ay) ** 2) AS r0, sqrt((x - dx) ** 2 + (y - dy) ** 2) AS r3, sqrt((x - (ax + 3 * bx + 3 * cx + dx) / 8) ** 2 + (y - (ay + 3 * by_ + 3 * cy + dy) / 8) ** 2) AS mid, degrees(atan2(dy - y, dx - x) - atan2(ay - y, ax - x)) AS turn FROM m) "
+    "SELECT k AS p_partkey, round(x, 4) AS x, round(y, 4) AS y, round((r0 + r3) / 2, 4) AS radius, round(abs(fmod(fmod(turn + 180, 360) + 360, 360) - 180), 4) AS sweep FROM r WHERE r0 >= 1 AND abs(r0 - r3) <= 0.08::DOUBLE * r0 AND abs(mid - r0) <= 0.08::DOUBLE * r0"
+)
+def cubic_arcs(spark: SparkSession, folder: str) -> DataFrame:
+    at = {n: F.expr(f"cast({e.replace('k', 'p_partkey')} AS double)") for n, e in _CUBIC.items()}
+    point = lambda x, y: F.struct(at[x].alias("x"), at[y].alias("y"))
+    arc = geometry.cubic_arc(point("ax", "ay"), point("bx", "by_"), point("cx", "cy"), point("dx", "dy"))
+    return table(spark, folder, "part").select("p_partkey", arc.alias("a")).where("a IS NOT NULL").select("p_partkey", *[F.round(f"a.{c}", 4).alias(c) for c in ("x", "y", "radius", "sweep")])
+
+
+@query(
+    "WITH RECURSIVE o AS (SELECT o_custkey, list((o_orderkey % 97)::DOUBLE ORDER BY o_orderkey % 97) FILTER (o_orderkey % 3 > 0) AS cuts, 100.0::DOUBLE AS gap, 9.0::DOUBLE AS least FROM orders GROUP BY o_custkey), w AS (SELECT o_custkey, coalesce(cuts, []) AS cuts, gap, least, 1 AS i, [0.0::DOUBLE] AS kept FROM o "
+    "UNION ALL SELECT o_custkey, cuts, gap, least, i + 1, CASE WHEN cuts[i] - kept[-1] >= least THEN list_append(kept, cuts[i]) ELSE kept END FROM w WHERE i <= len(cuts)), f AS (SELECT o_custkey, CASE WHEN len(cuts) = 0 THEN [0.0::DOUBLE, gap] WHEN gap - kept[-1] < least THEN list_append(kept[:-2], gap) ELSE list_append(kept, gap) END AS p FROM w WHERE i = len(cuts) + 1) "
+    "SELECT o_custkey, p[j] AS low, p[j + 1] AS high FROM f, LATERAL (SELECT unnest(range(1, len(p))) AS j)"
+)
+def gap_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """A customer's orders stand for cuts of a gap of a hundred; pieces are nine long at least."""
+    cut = F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 97).cast("double"))
+    by = table(spark, folder, "orders").groupBy("o_custkey").agg(F.collect_list(cut).alias("cuts"))  # the cuts of one gap
+    return by.select("o_custkey", F.inline(geometry.gap_pieces(F.col("cuts"), F.lit(100.0), F.lit(9.0))))
+
+
+_RATE = "(event_id * 7 + user_id) % (9 + user_id % 40) = 0"
+
+
+@query(
+    f"WITH e AS (SELECT user_id, event_id, {_RATE} AS hit, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events), b AS (SELECT *, (nth - 1) // 8 AS batch FROM e WHERE nth <= 60), "
+    "s AS (SELECT user_id, min(b.batch) AS stop FROM b WHERE b.batch * 8 >= 16 AND (SELECT count(*) FILTER (hit) FROM b a WHERE a.user_id = b.user_id AND a.batch < b.batch) < greatest(1, b.batch * 8 / 12) GROUP BY user_id) SELECT user_id, event_id FROM b LEFT JOIN s USING (user_id) WHERE stop IS NULL OR batch < stop"
+)
+def paying_rows(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events").select("user_id", "event_id")
+    return sequence.paying_rows(e, "user_id", "event_id", "event_id", F.expr(_RATE)).select("user_id", "event_id")
+
+
+def _class(n: int) -> str:
+    """A round of classes in SQL: from rows r{n} to class k{n} and rows r{n + 1}."""
+    return (
+        f"c{n} AS (SELECT g, c, sum(m) AS mass FROM r{n} JOIN (SELECT DISTINCT g, round_even(v, 0) AS c FROM r{n}) USING (g) WHERE abs(v - c) <= 0.18::DOUBLE * c + 1 GROUP BY ALL), b{n} AS (SELECT DISTINCT ON (g) g, c FROM c{n} JOIN total USING (g) WHERE mass >= 0.12::DOUBLE * whole ORDER BY g, mass DESC, c), "
+        f"k{n} AS (SELECT g, {n} AS nth, sum(v * m) / sum(m) AS middle, sum(m)::BIGINT AS mass FROM r{n} JOIN b{n} USING (g) WHERE abs(v - c) <= 0.18::DOUBLE * c + 1 GROUP BY g), r{n + 1} AS (SELECT g, v, m FROM r{n} JOIN b{n} USING (g) WHERE NOT abs(v - c) <= 0.18::DOUBLE * c + 1)"
+    )
+
+
+@query(
+    "WITH r1 AS (SELECT o_custkey AS g, (o_orderkey * 13 % 211) / 4.0::DOUBLE AS v, sum(o_orderkey % 50 + 1) AS m FROM orders GROUP BY ALL), total AS (SELECT g, sum(m) AS whole FROM r1 GROUP BY g), " + ", ".join(_class(n) for n in (1, 2, 3)) + ", a AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3) SELECT g, nth, round(middle, 6) AS middle, mass FROM a"
+)
+def weighted_classes(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders").selectExpr("o_custkey AS g", "(o_orderkey * 13 % 211) / 4D AS v", "o_orderkey % 50 + 1 AS m")
+    return sequence.weighted_classes(o, "g", "v", "m").select("g", "nth", F.round("middle", 6).alias("middle"), "mass")
+
+
+_ROOM = ("o_custkey % 60 AS plan", "o_orderkey % 400 AS space", "2000 + (o_orderkey * 37) % 90000 AS pixels", "CASE WHEN o_orderkey % 5 < 3 THEN 'ft' ELSE 'm' END AS unit")
+
+
+@query(
+    "WITH r AS (SELECT " + ", ".join(_ROOM) + ", 0.5::DOUBLE + (o_orderkey % 9) / 2.0::DOUBLE AS a, 1 + (o_orderkey % 7) / 4.0::DOUBLE AS b FROM orders), o AS (SELECT *, count(*) OVER (PARTITION BY plan, space) AS names, sqrt(pixels / (a * b)) AS root FROM r), e AS (SELECT plan, unit, count(*) AS rooms, median(root) AS middle FROM o WHERE names = 1 AND least(a, b) >= CASE unit WHEN 'ft' THEN 2.5::DOUBLE ELSE 0.75::DOUBLE END AND root BETWEEN 20 AND 120 GROUP BY ALL) "
+    "SELECT DISTINCT ON (plan) plan, unit, round_even(middle, 2) AS pixels_per_unit, rooms FROM e ORDER BY plan, rooms DESC, unit"
+)
+def scale_of_rooms(spark: SparkSession, folder: str) -> DataFrame:
+    return sequence.scale_of_rooms(table(spark, folder, "orders").selectExpr(*_ROOM, "0.5D + (o_orderkey % 9) / 2D AS side_a", "1 + (o_orderkey % 7) / 4D AS side_b"))
+
+
+_EVIDENCE = (
+    "CASE k % 4 WHEN 0 THEN 'single_line' WHEN 1 THEN 'line_pair' ELSE 'wall_gap' END AS source", "CASE k % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'same_space' WHEN 2 THEN 'between_rooms' ELSE 'room_to_exterior' END AS relation", "k % 23 = 0 AS sliding", "k % 11 / 12.0 AS arc", "k % 13 / 16.0 AS double_arc", "k % 17 / 20.0 AS leaf",
+    "CASE WHEN k % 6 > 3 THEN k % 6 - 3 ELSE 0 END AS glazed", "k % 7 = 3 AS dashed", "k % 6 > 3 OR k % 7 = 3 OR k % 9 = 1 AS inner_", "k % 3 AS faces", "k % 4 AS covered", "k % 8 / 8.0 AS most", "(k % 90 + 10) * 1.0 AS width", "(4 + k % 5) * 1.0 AS thickness", "(k % 7) * 1.0 AS wall", "CASE WHEN k % 2 = 0 THEN k % 12 * 1.0 END AS feet",
+)
+_SINGLE = "source = 'single_line'"
+
+
+@query(
+    "WITH e AS (SELECT p_partkey AS k, " + ", ".join(c.replace("k %", "p_partkey %").replace(".0", ".0::DOUBLE") for c in _EVIDENCE) + f" FROM part), a AS (SELECT k, source, relation, sliding AND NOT {_SINGLE} AS slides, arc, double_arc * 1.05::DOUBLE AS two, leaf * 0.95::DOUBLE AS one, CASE WHEN {_SINGLE} THEN least(1, covered) ELSE faces END AS f, inner_ AND NOT {_SINGLE} AS held, most, feet, width, thickness, greatest(wall, 1) AS t, "
+    f"CASE WHEN {_SINGLE} THEN 0 WHEN glazed >= 2 OR (glazed = 1 AND faces > 0) THEN 0.92::DOUBLE WHEN glazed = 1 THEN 0.8::DOUBLE WHEN dashed THEN 0.62::DOUBLE ELSE 0 END AS glass FROM e), b AS (SELECT *, greatest(arc, two, one) AS door, relation = 'between_rooms' AS inside, relation = 'room_to_exterior' AS outside, CASE WHEN feet IS NULL THEN width <= 6 * greatest(thickness, t) ELSE feet <= 4.6::DOUBLE END AS small, CASE WHEN feet IS NULL THEN width >= 14 * t ELSE feet >= 8 END AS garage FROM a), "
+    "w AS (SELECT *, CASE WHEN slides THEN 1 WHEN door >= 0.55::DOUBLE AND door >= glass - 0.1::DOUBLE THEN 2 WHEN glass >= 0.62::DOUBLE AND inside AND glass < 0.8::DOUBLE THEN 3 WHEN glass >= 0.62::DOUBLE THEN 4 WHEN f > 0 AND NOT held THEN 5 WHEN most < 0.2::DOUBLE AND door < 0.35::DOUBLE THEN 6 ELSE 7 END AS way FROM b), "
+    "v AS (SELECT *, CASE WHEN way IN (1, 2) THEN 'door' WHEN way = 4 THEN 'window' WHEN way = 5 AND (inside OR (outside AND ((small AND f >= 2) OR garage))) THEN 'door' ELSE 'opening' END AS kind, "
+    "CASE way WHEN 1 THEN 0.85::DOUBLE WHEN 2 THEN least(0.95::DOUBLE, 0.6::DOUBLE + 0.35::DOUBLE * door + CASE WHEN inside THEN 0.05::DOUBLE ELSE 0 END) WHEN 3 THEN 0.45::DOUBLE WHEN 4 THEN least(0.95::DOUBLE, 0.45::DOUBLE + 0.5 * glass - CASE WHEN inside THEN 0.15::DOUBLE ELSE 0 END) WHEN 5 THEN CASE WHEN inside THEN 0.72::DOUBLE WHEN outside AND small AND f >= 2 THEN 0.62::DOUBLE WHEN outside AND garage THEN 0.58::DOUBLE ELSE 0.4::DOUBLE END ELSE 0.4::DOUBLE END AS c, "
+    "CASE way WHEN 1 THEN 'sliding panels' WHEN 2 THEN CASE WHEN two >= greatest(arc, one) THEN 'double swing' WHEN arc >= one THEN 'swing arc' ELSE 'door leaf' END WHEN 3 THEN 'weak glazing' WHEN 4 THEN CASE WHEN glass >= 0.8::DOUBLE THEN 'glazing lines' ELSE 'dashed glazing line' END WHEN 5 THEN 'outline only' WHEN 6 THEN 'bare gap' ELSE 'none' END AS symbol FROM w) "
+    "SELECT k AS p_partkey, kind, round_even(c * CASE WHEN relation IN ('unknown', 'same_space') AND kind <> 'opening' THEN 0.85::DOUBLE ELSE 1 END, 2) AS confidence, symbol FROM v"
+)
+def opening_types(spark: SparkSession, folder: str) -> DataFrame:
+    of = [c.replace("k %", "p_partkey %").replace(".0", ".0D").replace("inner_", "inner") for c in _EVIDENCE]
+    return table(spark, folder, "part").selectExpr("p_partkey", *of).withColumn("t", rules.opening_type()).select("p_partkey", "t.kind", "t.confidence", "t.symbol")
