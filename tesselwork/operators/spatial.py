@@ -9,10 +9,14 @@ BOX = ("x", "y", "w", "h")
 
 
 def cells(boxes: DataFrame, size: int, grow: int = 0) -> DataFrame:
-    """One row for each cell that a box, grown on all sides, touches: adds cx, cy."""
+    """One row for each cell that a box, grown on all sides, touches: adds cx, cy.
+
+    Spark's size estimate of these rows is that of the boxes, however many cells they touch, so a join of them may not
+    be broadcast by it: the hint shuffles both sides, and adaptive execution splits cells that hold many rows.
+    """
     at = lambda v: F.floor((v) / F.lit(size)).cast("int")
     span = lambda p, d: F.sequence(at(F.col(p) - grow), at(F.col(p) + F.col(d) + grow))
-    return boxes.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
+    return boxes.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h"))).hint("merge")
 
 
 def met_on_grid(left: DataFrame, right: DataFrame, size: int, grow: float = 0, keys: list[str] | None = None) -> DataFrame:
