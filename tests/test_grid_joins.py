@@ -10,6 +10,7 @@ from tesselwork.plans import catalog, drawing, extra, layout, more, rules  # noq
 #: Queries on grids; those that run rounds over written tables are looked at by the pairs that they begin with.
 GRIDS = {
     "connect_ends": catalog.QUERIES["connect_ends"],
+    "buildings": catalog.QUERIES["buildings"],
 }
 
 
