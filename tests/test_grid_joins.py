@@ -11,6 +11,7 @@ from tesselwork.plans import catalog, drawing, extra, layout, more, rules  # noq
 GRIDS = {
     "connect_ends": catalog.QUERIES["connect_ends"],
     "buildings": catalog.QUERIES["buildings"],
+    "first_container": catalog.QUERIES["first_container"],
 }
 
 
