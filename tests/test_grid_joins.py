@@ -12,6 +12,7 @@ GRIDS = {
     "connect_ends": catalog.QUERIES["connect_ends"],
     "buildings": catalog.QUERIES["buildings"],
     "first_container": catalog.QUERIES["first_container"],
+    "label_to_space": catalog.QUERIES["label_to_space"],
 }
 
 
