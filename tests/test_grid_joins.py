@@ -13,6 +13,7 @@ GRIDS = {
     "buildings": catalog.QUERIES["buildings"],
     "first_container": catalog.QUERIES["first_container"],
     "label_to_space": catalog.QUERIES["label_to_space"],
+    "reachable": catalog.touching,
 }
 
 
