@@ -14,6 +14,7 @@ GRIDS = {
     "first_container": catalog.QUERIES["first_container"],
     "label_to_space": catalog.QUERIES["label_to_space"],
     "reachable": catalog.touching,
+    "seeded_grouping": catalog.touching,
 }
 
 
