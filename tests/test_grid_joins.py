@@ -15,6 +15,7 @@ GRIDS = {
     "label_to_space": catalog.QUERIES["label_to_space"],
     "reachable": catalog.touching,
     "seeded_grouping": catalog.touching,
+    "label_point_votes": catalog.QUERIES["label_point_votes"],
 }
 
 
