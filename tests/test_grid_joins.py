@@ -16,6 +16,7 @@ GRIDS = {
     "reachable": catalog.touching,
     "seeded_grouping": catalog.touching,
     "label_point_votes": catalog.QUERIES["label_point_votes"],
+    "point_recovery": catalog.QUERIES["point_recovery"],
 }
 
 
