@@ -17,6 +17,7 @@ GRIDS = {
     "seeded_grouping": catalog.touching,
     "label_point_votes": catalog.QUERIES["label_point_votes"],
     "point_recovery": catalog.QUERIES["point_recovery"],
+    "point_in_polygon": catalog.QUERIES["point_in_polygon"],
 }
 
 
