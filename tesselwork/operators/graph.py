@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tesselwork.sources.scratch import compacted, release, written
 
+EDGES_A_FILE = 1_000_000  # of a round of components
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: return node, component (its smallest node) for every node.
@@ -21,11 +23,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     smallest one it knows. A hub's edges are reduced by partial aggregation and met again by a join that adaptive
     execution may split, so no node's neighbourhood has to fit a task. Stops when a round changes no edge. Edges
     with a null end are no edges; self-loops make a node known.
+
+    A round never has more edges than the first, so their number says how many files a round needs; a few edges are
+    not written as a file for each shuffle partition.
     """
     known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     known = written(known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     nodes = written(known.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
     now, before = known.where("u <> v"), None
+    files = max(known.sparkSession.sparkContext.defaultParallelism, known.count() // EDGES_A_FILE + 1)
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
@@ -36,10 +42,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large.where("u <> v"), "large-star")
+        large = written(large.where("u <> v").coalesce(files), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        old, now = now, written(small.where("u <> v").distinct(), "small-star")
+        old, now = now, written(small.where("u <> v").distinct().coalesce(files), "small-star")
         release(old, large)
 
 
