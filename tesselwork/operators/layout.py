@@ -132,12 +132,15 @@ def label_at(points: DataFrame, runs: DataFrame, width: int, height: int, around
 def buildings(networks: DataFrame, common: DataFrame, least: int = 2) -> DataFrame:
     """What each network of walls (plan, id, openings, area) with ``least`` openings is: few openings (under .15 of the most of
     its plan), a frame (holds .8 of a network with more openings), part of a larger one (.8 inside it), too small (under
-    a twentieth of the largest), or a building. ``common`` has plan, a, b and the area that two share, each pair once."""
+    a twentieth of the largest), or a building. ``common`` has plan, a, b and the area that two share, each pair once.
+
+    Networks meet their pairs by a shuffle: Spark's estimate of them is a part of the compressed file, and a hashed row
+    takes many times that in the driver."""
     rows = networks.where(F.col("openings") >= least).withColumn("most", F.max("openings").over(Window.partitionBy("plan")))
     rows = rows.withColumn("few", F.col("openings") < F.greatest(F.lit(float(least)), 0.15 * F.col("most")))
     fit = rows.where("NOT few").select("plan", "id", "openings", "area")
     both = common.select("plan", "a", "b", "common").unionByName(common.select("plan", F.col("b").alias("a"), F.col("a").alias("b"), "common"))
-    side = lambda d, s: d.select("plan", F.col("id").alias(s), F.col("openings").alias(f"{s}_openings"), F.col("area").alias(f"{s}_area"))
+    side = lambda d, s: d.select("plan", F.col("id").alias(s), F.col("openings").alias(f"{s}_openings"), F.col("area").alias(f"{s}_area")).hint("merge")
     pairs = lambda d: both.join(side(d, "a"), ["plan", "a"]).join(side(d, "b"), ["plan", "b"])
     frames = pairs(fit).where("b_openings > a_openings AND common >= 0.8D * b_area").select("plan", F.col("a").alias("id")).distinct()
     kept = fit.join(frames, ["plan", "id"], "left_anti")
