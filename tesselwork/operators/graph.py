@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselwork.sources.scratch import compacted, release, written
+from tesselwork.sources.scratch import compacted, release, sized, written
 
 EDGES_A_FILE = 1_000_000  # of a round of components
 
@@ -53,14 +53,16 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """node and distance (least number of edges) of all that undirected edges a, b reach from ``start``'s nodes."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "reach-edges")
     seen = front = written(start.select("node").distinct().withColumn("distance", F.lit(0)), "reach")
-    parts = [seen]
+    parts, known = [seen], front.count()
+    new = known
     for step in count(1):
-        near = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        front = written(near.join(seen, "node", "left_anti").withColumn("distance", F.lit(step)), "reach-front")
-        if front.isEmpty():
+        near = both.join(sized(front.select(F.col("node").alias("a")), new), "a").select(F.col("b").alias("node")).distinct()
+        front = written(near.join(sized(seen, known), "node", "left_anti").withColumn("distance", F.lit(step)), "reach-front")
+        new = front.count()
+        if not new:
             return seen
         seen, parts = compacted(seen.unionByName(front), [*parts, front], "reach")
-        front = seen.where(F.col("distance") == step) if len(parts) == 1 else front
+        front, known = seen.where(F.col("distance") == step) if len(parts) == 1 else front, known + new
 
 
 def prune_ends(edges: DataFrame, keep: DataFrame | None = None) -> DataFrame:

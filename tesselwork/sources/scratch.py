@@ -2,8 +2,9 @@
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where a session on a local master names none
 (unit tests, a laptop) a folder of its own is made; a cluster without one is an error, not a folder that only the
-driver sees. A written table survives the loss of any executor, is scanned
-with column pruning, and gives later plans exact sizes, so adaptive joins need no hints.
+driver sees. A written table survives the loss of any executor and is scanned
+with column pruning. Later plans know it by the size of its files, which are compressed: sized() says which joins may
+broadcast it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+MOST_BROADCAST = 250_000  # rows of a few columns: about 10 MB, Spark's own limit, at 40 bytes a hashed row
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -51,6 +53,12 @@ def release(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many rows, as a side of joins: hinted to shuffle where a broadcast would hold too many. Spark
+    goes by the size of compressed files, and a hashed row in the driver's memory takes several times its share of them."""
+    return df.hint("merge") if rows > MOST_BROADCAST else df
+
+
 def compacted(whole: DataFrame, parts: list[DataFrame], tag: str, most: int = 8) -> tuple[DataFrame, list[DataFrame]]:
     """A union that grows by a written table a round: after ``most`` parts it is written as one, and the parts go, so
     that neither a plan nor the number of files grows with the rounds."""

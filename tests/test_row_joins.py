@@ -2,6 +2,7 @@
 
 from compare import FOLDER
 
+from tesselwork.operators import graph
 from tesselwork.plans import catalog, layout  # noqa: F401
 
 
@@ -23,3 +24,23 @@ def broadcast(df) -> list[str]:
 
 def test_networks_are_not_broadcast_to_their_pairs(spark):
     assert [x for x in broadcast(catalog.QUERIES["buildings"](spark, FOLDER)) if "Aggregate" not in x] == []
+
+
+def rounds(monkeypatch, module) -> dict[str, list[str]]:
+    """What is broadcast in the plans of the tables that a module's rounds write, by their tag."""
+    seen, write = {}, module.written
+    monkeypatch.setattr(module, "written", lambda df, tag: (seen.setdefault(tag, []).extend(broadcast(df)), write(df, tag))[1])
+    return seen
+
+
+def pairs(spark, n=300_000):
+    """Edges 2i, 2i + 1: each half of their nodes is more than a broadcast should hold, though its files are small."""
+    return spark.range(n).selectExpr("2 * id AS a", "2 * id + 1 AS b")
+
+
+def test_rounds_of_reachable_broadcast_no_large_table(spark, monkeypatch):
+    seen = rounds(monkeypatch, graph)
+    edges = pairs(spark)
+    out = graph.reachable(edges, edges.selectExpr("a AS node"))
+    assert seen["reach-front"] == []
+    assert {tuple(r) for r in out.groupBy("distance").count().collect()} == {(0, 300_000), (1, 300_000)}
