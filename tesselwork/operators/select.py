@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselwork.sources.scratch import compacted, release, written
+from tesselwork.sources.scratch import compacted, release, sized, written
 
 
 def greedy_match(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
@@ -38,14 +38,16 @@ def keep_first(items: DataFrame, clashes: DataFrame, item: str, priority: str) -
     order = F.struct(-F.col(priority), F.col(item))
     ranked = written(items.select(item, order.alias("rank")), "nms-items")
     both = clashes.unionByName(clashes.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    known = lambda side: ranked.select(F.col(item).alias(side), F.col("rank").alias(f"rank_{side}"))
+    left = most = ranked.count()
+    known = lambda side: sized(ranked.select(F.col(item).alias(side), F.col("rank").alias(f"rank_{side}")), most)
     worse = written(both.join(known("a"), "a").join(known("b"), "b").where("rank_b < rank_a").select("a", "b"), "nms-pairs")
     open_, stayed, parts = ranked.select(item), ranked.select(item).limit(0), []
-    while not open_.isEmpty():
-        blocked = worse.join(open_.select(F.col(item).alias("b")), "b", "left_semi").select(F.col("a").alias(item)).distinct()
-        won = written(open_.join(blocked, item, "left_anti"), "nms-won")
-        gone = worse.join(won.select(F.col(item).alias("b")), "b", "left_semi").select(F.col("a").alias(item)).distinct()
-        old, open_ = open_, written(open_.join(won, item, "left_anti").join(gone, item, "left_anti"), "nms-open")
+    while left:
+        blocked = worse.join(sized(open_.select(F.col(item).alias("b")), left), "b", "left_semi").select(F.col("a").alias(item)).distinct()
+        won = written(open_.join(sized(blocked, most), item, "left_anti"), "nms-won")
+        gone = worse.join(sized(won.select(F.col(item).alias("b")), left), "b", "left_semi").select(F.col("a").alias(item)).distinct()
+        old, open_ = open_, written(open_.join(sized(won, left), item, "left_anti").join(sized(gone, most), item, "left_anti"), "nms-open")
+        left = open_.count()
         stayed, parts = compacted(stayed.unionByName(won) if parts else won, [*parts, won], "nms-stayed")
         release(old)
     return stayed
@@ -63,12 +65,13 @@ def seeded_groups(items: DataFrame, matches: DataFrame, item: str, priority: str
     Seeds are the items that keep_first() keeps, since only seeds take others in.
     """
     seeds = written(keep_first(items, matches, item, priority).select(F.col(item).alias("seed")), "seeds")
-    ranked = seeds.join(items.select(F.col(item).alias("seed"), F.col(priority).alias("p")), "seed")
+    most = items.count()
+    ranked = sized(seeds.join(sized(items.select(F.col(item).alias("seed"), F.col(priority).alias("p")), most), "seed"), most)
     both = matches.select("a", "b").unionByName(matches.select(F.col("b").alias("a"), F.col("a").alias("b")))
     joins = both.where("a <> b").select(F.col("a").alias(item), F.col("b").alias("seed")).join(ranked, "seed")
     first = joins.groupBy(item).agg(F.min(F.struct(-F.col("p"), F.col("seed"))).alias("f"))
     own = seeds.select(F.col("seed").alias(item), F.col("seed").alias("own"))
-    return items.select(item).join(own, item, "left").join(first, item, "left").select(item, F.coalesce("own", "f.seed").alias("seed"))
+    return items.select(item).join(sized(own, most), item, "left").join(sized(first, most), item, "left").select(item, F.coalesce("own", "f.seed").alias("seed"))
 
 
 def same_place(grow: float = 0.25) -> str:

@@ -2,7 +2,7 @@
 
 from compare import FOLDER
 
-from tesselwork.operators import graph
+from tesselwork.operators import graph, select
 from tesselwork.plans import catalog, layout  # noqa: F401
 
 
@@ -44,3 +44,13 @@ def test_rounds_of_reachable_broadcast_no_large_table(spark, monkeypatch):
     out = graph.reachable(edges, edges.selectExpr("a AS node"))
     assert seen["reach-front"] == []
     assert {tuple(r) for r in out.groupBy("distance").count().collect()} == {(0, 300_000), (1, 300_000)}
+
+
+def test_rounds_of_seeded_groups_broadcast_no_large_table(spark, monkeypatch):
+    seen = rounds(monkeypatch, select)
+    edges = pairs(spark)
+    items = spark.range(600_000).selectExpr("id", "id % 2 AS size")
+    out = select.seeded_groups(items, edges, "id", "size")
+    assert [seen[t] for t in ("nms-pairs", "nms-won", "nms-open", "seeds")] == [[], [], [], []]
+    assert broadcast(out) == []
+    assert out.where("seed <> id - id % 2 + 1").isEmpty() and out.count() == 600_000
